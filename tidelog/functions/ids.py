@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import LongType
 
 from .text import col
 
@@ -13,7 +14,7 @@ FNV_OFFSET = 2166136261
 FNV_PRIME = 16777619
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _fnv1a(index: pd.Series, line: pd.Series) -> pd.Series:
     # One numpy step per character position for the whole Arrow batch. The
     # native form (aggregate() over split characters) took twice as long.

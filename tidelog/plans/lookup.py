@@ -9,6 +9,7 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 # A key above 1/HOT_SHARE of all rows counts as hot, so there are fewer than HOT_SHARE.
 HOT_SHARE = 1000
+SALTS = 64
 
 
 def fits_broadcast(small: DataFrame) -> bool:
@@ -36,6 +37,13 @@ def split_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, h
     total = small.agg(F.sum(weight)).scalar()
     is_hot = F.col(weight) * HOT_SHARE > total
     hot, cold = small.filter(is_hot), small.filter(~is_hot)
-    hot_rows = big.join(F.broadcast(hot), keys, "inner")
-    cold_rows = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    hot_keys = F.broadcast(hot.select(*keys))
+    if fits_broadcast(hot):
+        hot_rows = big.join(F.broadcast(hot), keys, "inner")
+    else:
+        # Few keys but wide rows: spread each hot key over several tasks.
+        salted = big.join(hot_keys, keys, "left_semi").withColumn("_salt", F.floor(F.rand(0) * SALTS).cast("int"))
+        copies = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hot_rows = salted.join(copies, [*keys, "_salt"], "inner").drop("_salt")
+    cold_rows = big.join(hot_keys, keys, "left_anti").join(cold, keys, how)
     return hot_rows.unionByName(cold_rows)
