@@ -45,7 +45,7 @@ def prefix_token(token: Column | str) -> Column:
 def group_key(tokens: Column | str) -> Column:
     """Messages are only ever compared within one token count and first-token class."""
     t = col(tokens)
-    return F.concat_ws("|", F.size(t).cast("string"), prefix_token(F.element_at(t, 1)))
+    return F.concat_ws("|", F.size(t).cast("string"), prefix_token(F.get(t, F.lit(0))))
 
 
 def _agree(x: Column, y: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import is_blank
+from ..functions.text import ASCII_SPACES, WIDE_SPACES
 
 BATCH_LINES = 20_000
 
@@ -50,7 +50,7 @@ def _list_members():
 
 def _read_members():
     open_stream = _opener()
-    size = BATCH_LINES
+    size, spaces = BATCH_LINES, ASCII_SPACES + WIDE_SPACES
 
     def run(batches):
         import io
@@ -60,10 +60,10 @@ def _read_members():
             for source, member, name in zip(pdf["source"], pdf["member"], pdf["name"]):
                 with open_stream(source) as stream, zipfile.ZipFile(stream) as archive, archive.open(name) as body:
                     text = io.TextIOWrapper(body, encoding="utf-8", errors="replace", newline="\n")
-                    batch, place = [], 0
-                    for line in text:
+                    filled = (t for t in text if t.strip(spaces))
+                    batch = []
+                    for place, line in enumerate(filled):
                         batch.append((source, int(member), place, line.rstrip("\n").removesuffix("\r")))
-                        place += 1
                         if len(batch) >= size:
                             yield pd.DataFrame(batch, columns=["source", "member", "place", "line"])
                             batch = []
@@ -82,18 +82,10 @@ def read_zip_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     members = archives.mapInPandas(_list_members(), "source string, member int, name string")
     spread = members.repartition("source", "member")
     lines = spread.mapInPandas(_read_members(), "source string, member int, place bigint, line string")
-    lines = lines.filter(~is_blank("line"))
-    # Row ids rise within a member, which one task reads from start to end.
-    numbered = lines.withColumn("row", F.monotonically_increasing_id())
-    members_seen = numbered.groupBy("source", "member").agg(
-        F.min(F.struct("place", "row")).alias("first"), F.count("*").alias("n")
-    )
+    counts = lines.groupBy("source", "member").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("member").rowsBetween(Window.unboundedPreceding, -1)
-    starts = members_seen.select(
-        "source",
-        "member",
-        (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first.row")).alias("shift"),
-    )
-    return numbered.join(starts, ["source", "member"]).select(
-        "source", (F.col("row") + F.col("shift")).alias("idx"), "line"
+    offsets = counts.select("source", "member", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    # One row per member; the planner picks the join by its size.
+    return lines.join(offsets, ["source", "member"]).select(
+        "source", (F.col("offset") + F.col("place")).alias("idx"), "line"
     )
