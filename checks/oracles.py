@@ -183,9 +183,9 @@ ORACLES = {
     "token_algebra": LOG + """SELECT idx, CASE WHEN same THEN 1.0 ELSE 0.5 END AS similarity,
         method || ' ' || CASE WHEN same THEN raw_path ELSE '<*>' END AS merged, '<*>' AS ip_prefix, '2|' || method AS group_key
         FROM (SELECT *, raw_path = '/api/view/' || (idx % 150) AS same FROM log)""",
-    "saturation": LOG + """SELECT event_id, round(least(100, 0.5 * least(100, user_id / 10 * (latency * 2.5 / 1000) / 8 * 100)
+    "saturation": LOG + """SELECT event_id, round(least(100, 0.5 * least(100, ln(user_id + 2) * ((latency * 2.5 + ln(user_id + 2)) / 1000) / 8 * 100)
         + 0.3 * least(100, body_bytes / 1000 * 5)
-        + 0.2 * least(100, greatest(0, (CASE WHEN latency > 0 THEN latency * 2.5 / latency ELSE 1 END - 1) / 3 * 100))), 6) AS saturation FROM log""",
+        + 0.2 * least(100, greatest(0, (CASE WHEN latency > 0 THEN (latency * 2.5 + ln(user_id + 2)) / latency ELSE 1 END - 1) / 3 * 100))), 6) AS saturation FROM log""",
     "scalar_payload": r"SELECT event_id, 'p,t' AS keys, regexp_extract(props, '(\d+)', 1) AS p, 'v' AS t FROM events",
     "log_events": LOG + VIEW,
     "save_and_load": LOG + VIEW,

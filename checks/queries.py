@@ -140,7 +140,7 @@ def token_algebra(ev):
 
 def saturation(spark, sf):
     r = fx.requests(ready(spark), sf)
-    score = fn.saturation(F.col("user_id") / 10, F.col("latency"), F.col("latency") * 2.5, F.col("body_bytes") / 1000)
+    score = fn.saturation(F.ln(F.col("user_id") + 2), F.col("latency"), F.col("latency") * 2.5 + F.ln(F.col("user_id") + 2), F.col("body_bytes") / 1000)
     return r.select("event_id", r6(score).alias("saturation"))
 
 
@@ -308,6 +308,13 @@ def conversation_templates(spark, sf):
     return found.select("key", "cluster", "template", "count", r6("avg_latency").alias("avg_latency"))
 
 
+def mixed_templates(spark, sf):
+    """Lines of nine formats, parsed, then the templates of their messages."""
+    ev = tl.parse_logs(fx.mixed_lines(ready(spark), sf), context())
+    found = all_templates(materialize(ev.drop("id"), "mixed"))
+    return found.select("key", "cluster", "template", "count", "error_count", r6("avg_latency").alias("avg_latency"), "severity")
+
+
 # -- streams -------------------------------------------------------------------------
 
 def _event_stream(spark, sf):
@@ -415,6 +422,7 @@ QUERIES = {
     "cluster_logs": on_saved_events(clusters),
     "assign_templates": on_saved_events(assigned),
     "conversation_templates": conversation_templates,
+    "mixed_templates": mixed_templates,
     **{f"parse_{k}": parse_kind(k) for k in (*fx.TEXT_KINDS, "json", "app_json", "csv", "w3c")},
     "parse_generic": parse_generic,
     "parse_mixed": parse_mixed,

@@ -30,7 +30,7 @@ def col(c: Column | str) -> Column:
 def only_ascii_spaces(c: Column | str) -> Column:
     """True where a plain `\\s` sees every space: pure ASCII, or no wide space in it."""
     text = col(c)
-    return (F.octet_length(text) == F.length(text)) | ~text.rlike(f"[{WIDE_SET}]")
+    return F.when(F.octet_length(text) == F.length(text), True).otherwise(~text.rlike(f"[{WIDE_SET}]"))
 
 
 def wide_spaces(pattern: str) -> str:

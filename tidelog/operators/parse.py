@@ -37,16 +37,19 @@ def _pick(by: Column, branches: dict[str, Column], otherwise: Column | None = No
     return chain if otherwise is None else chain.otherwise(otherwise)
 
 
-def choose_format(line: Column, specs: list[ParserSpec]) -> Column:
+def accepted_formats(line: Column, specs: list[ParserSpec]) -> Column:
+    """One entry per format, null where it refuses the line. All patterns are
+    anchored, so a refusal is cheap."""
+    return F.array(*[F.when(s.matches(line), F.lit(s.id)) for s in specs])
+
+
+def choose_format(accepted: Column, specs: list[ParserSpec]) -> Column:
     """Format of one line: the pinned one if it accepts the line, else the
     best-ranked non-exclusive one that does, else generic; null drops the line."""
     pinned = F.col("pinned")
-    # All patterns are anchored, so a miss is cheap.
-    accepted = F.array_compact(F.array(*[F.when(s.matches(line), F.lit(s.id)) for s in specs]))
     exclusive = F.coalesce(pinned.isin([s.id for s in specs if s.exclusive]), F.lit(False))
     open_formats = F.array(*[F.lit(s.id) for s in specs if not s.exclusive])
-    candidates = F.array_intersect(F.array_intersect(F.col("cascade"), accepted), open_formats)
-    best = F.get(candidates, F.lit(0))
+    best = F.get(F.array_intersect(F.array_intersect(F.col("cascade"), open_formats), accepted), F.lit(0))
     return (
         F.when(F.array_contains(accepted, pinned), pinned)
         .when(exclusive, None)
@@ -58,7 +61,11 @@ def parse_cascade(lines: DataFrame, ctx: ParseContext, specs: list[ParserSpec])
     """Parse lines that carry `pinned` and `cascade` of their source, in one projection."""
     line = F.col("line")
     per_line = [s for s in specs if s.parse_all is None]
-    typed = lines.withColumn("format", choose_format(line, per_line)).filter(F.col("format").isNotNull())
+    tested = lines.withColumn("accepted", accepted_formats(line, per_line))
+    typed = tested.withColumn("format", choose_format(F.col("accepted"), per_line))
+    if any(s.exclusive for s in per_line):
+        # Only then can a line be dropped; a filter would test every pattern twice.
+        typed = typed.filter(F.col("format").isNotNull())
     no_groups = F.array().cast("array<string>")
     captures = {s.id: s.captures(line) for s in per_line if s.captures is not None}
     typed = typed.withColumn("groups", _pick(F.col("format"), captures, no_groups))

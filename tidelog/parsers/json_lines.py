@@ -72,9 +72,10 @@ def _is_text(keys: tuple[str, ...]) -> Column:
 
 def _truthy(text: Column, keys: tuple[str, ...]) -> Column:
     """Null where the reference would call the value falsy: empty text, zero, false."""
-    # Null texts must not reach the type check, the one costly step here.
+    # Written as branches: the type check is the one costly step here, and
+    # both sides of an `&` may be evaluated ahead for every row.
     suspect = F.coalesce(text.rlike(r"^(false|-?0(\.0*)?)$"), F.lit(False))
-    return F.when((text != "") & ~(suspect & ~_is_text(keys)), text)
+    return F.when(text == "", None).when(suspect, F.when(_is_text(keys), text)).otherwise(text)
 
 
 def _fields(ctx: ParseContext) -> Fields:
@@ -87,8 +88,8 @@ def _fields(ctx: ParseContext) -> Fields:
     level = F.upper(text("severity"))
     raw_time = F.coalesce(text("time"), F.lit(""))
     # Digits may be a number (epoch) or a text that merely looks like one.
-    is_number = raw_time.rlike(r"^-?[0-9.]+([eE][-+]?\d+)?$") & ~_is_text(CANDIDATES["time"])
-    epoch = F.when(is_number, epoch_time(raw_time.try_cast("double")))
+    digits = raw_time.rlike(r"^-?[0-9.]+([eE][-+]?\d+)?$")
+    epoch = F.when(digits, F.when(~_is_text(CANDIDATES["time"]), epoch_time(raw_time.try_cast("double"))))
     return {
         "time": raw_time,
         "timestamp": F.coalesce(epoch, ctx.time(raw_time)),

@@ -21,6 +21,9 @@ def get_session(app: str = "tidelog", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.variant.allowDuplicateKeys": "true",
+        # Parsing makes wide projections; a fused method beyond this size is
+        # never compiled by the JVM, the split form is.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     for key, value in settings.items():

@@ -18,16 +18,31 @@ from ..schema import LOG_EVENTS
 def stream_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Unbounded (source, idx, line) of files arriving in a folder.
 
-    A stream has no complete files to count lines in, so `idx` orders the
-    lines of a source by block and row, with gaps.
+    Counting the lines of a file needs the whole file, so `idx` is the start of
+    the line's block plus its number in the block: it rises along the file and
+    never repeats, as every line takes at least one byte.
     """
     raw = spark.readStream.options(**options).option("lineSep", "\n").text(path)
     lines = raw.select(
         F.col("_metadata.file_path").alias("source"),
-        F.monotonically_increasing_id().alias("idx"),
+        F.col("_metadata.file_block_start").alias("block"),
         F.regexp_replace("value", "\r$", "").alias("line"),
     )
-    return lines.filter(~is_blank("line"))
+    return lines.filter(~is_blank("line")).mapInPandas(_number_lines(), "source string, idx bigint, line string")
+
+
+def _number_lines():
+    def run(batches):
+        seen = (None, None, 0)
+        for pdf in batches:
+            numbers = []
+            for source, block in zip(pdf["source"], pdf["block"]):
+                count = seen[2] if (source, block) == seen[:2] else 0
+                numbers.append(block + count)
+                seen = (source, block, count + 1)
+            yield pdf.assign(idx=numbers)[["source", "idx", "line"]]
+
+    return run
 
 
 def parse_stream(lines: DataFrame, format_id: str, ctx: ParseContext = ParseContext()) -> DataFrame:
