@@ -70,6 +70,8 @@ def test_exact_quantiles(spark):
             assert got[k, float(p)] == ordered[max(0, -(-p * len(ordered) // 100) - 1)]
     middle = {r["k"]: (r["n"], r["median"]) for r in medians(count_values(df, F.col("x"), ["k"]), ["k"]).collect()}
     assert middle == {k: (len(v), pytest.approx(statistics.median(v))) for k, v in shapes.items()}
+    direct = medians(count_values(df, F.col("x"), ["k"]), ["k"], few=True)
+    assert {r["k"]: (r["n"], r["median"]) for r in direct.collect()} == middle
 
 
 def test_time_slice_and_filters(spark):

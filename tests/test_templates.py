@@ -59,7 +59,7 @@ def test_first_word_separates(spark):
 
 
 def test_blank_messages_are_skipped(spark):
-    ev = events(spark, [{"full_request": "  "}, {"full_request": " GET　/a "}])
+    ev = events(spark, [{"full_request": "  "}, {"full_request": " GET\u3000/a "}])
     assert [r["template"] for r in T.cluster_logs(ev).collect()] == ["GET /a"]
 
 

@@ -8,7 +8,7 @@ from ..functions.labels import endpoint_key
 from ..functions.scores import robust_z
 from ..plans.lookup import lookup_join
 from ..session import materialize
-from .quantiles import count_values, medians
+from .quantiles import count_values, has_few_values, medians
 
 # Fixed values of the rule.
 MIN_SAMPLES = 3
@@ -25,13 +25,15 @@ def endpoint_baselines(events: DataFrame) -> DataFrame:
     """
     keyed = events.select(endpoint_key().alias("endpoint"), "latency")
     counts = materialize(count_values(keyed, F.col("latency"), ["endpoint"]), "latency-counts")
-    centre = materialize(medians(counts, ["endpoint"]), "medians")
+    # Deviations are no more numerous than the values they come from.
+    few = has_few_values(counts)
+    centre = materialize(medians(counts, ["endpoint"], few), "medians")
     deviations = (
         lookup_join(counts, centre, ["endpoint"], weight="n")
         .groupBy("endpoint", F.abs(F.col("v") - F.col("median")).alias("v"))
         .agg(F.sum("c").alias("c"))
     )
-    spread = medians(deviations, ["endpoint"]).select("endpoint", F.col("median").alias("mad"))
+    spread = medians(deviations, ["endpoint"], few).select("endpoint", F.col("median").alias("mad"))
     return materialize(centre.join(spread, "endpoint"), "baselines")
 
 

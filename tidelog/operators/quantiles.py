@@ -16,6 +16,8 @@ PER_OCTAVE = 128
 SLICES = 4096
 # |value| above 2^1024 does not occur in a double, so buckets are bounded.
 MAX_OCTAVES = 1100
+# Distinct values that one task can put in order without strain.
+FEW_VALUES = 1_000_000
 
 
 def count_values(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
@@ -34,25 +36,28 @@ def _running(keys: list[str], order: str):
     return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def values_at_ranks(counts: DataFrame, keys: list[str], ranks) -> DataFrame:
+def _locate(hist: DataFrame, keys: list[str], order: str, ranks) -> DataFrame:
+    """Rows of a histogram that hold a wanted rank, with its `tag` and the rank `r` left inside."""
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    placed = hist.withColumn("upto", F.sum("c").over(_running(keys, order))).withColumn("n", F.sum("c").over(whole))
+    before = F.col("upto") - F.col("c")
+    wanted = F.filter(ranks(F.col("n")), lambda x: (x["r"] > before) & (x["r"] <= F.col("upto")))
+    found = placed.withColumn("before", before).withColumn("want", F.explode(wanted))
+    return found.withColumn("tag", F.col("want.tag")).withColumn("r", F.col("want.r") - F.col("before")).drop("want", "upto", "c")
+
+
+def values_at_ranks(counts: DataFrame, keys: list[str], ranks, few: bool = False) -> DataFrame:
     """(keys, tag, n, v): the value at each wanted rank of each group.
 
     `ranks` maps the Column n (values in the group) to an array of
-    struct(tag, r), r counted from 1.
+    struct(tag, r), r counted from 1. With `few` distinct values in all
+    (checked by the caller) they are put in order directly.
     """
+    if few:
+        return _locate(counts, keys, "v", ranks).select(*keys, "tag", "n", "v")
     counts = counts.withColumn("b", _octave_bucket(F.col("v")))
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    coarse = (
-        counts.groupBy(*keys, "b")
-        .agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .withColumn("upto", F.sum("c").over(_running(keys, "b")))
-        .withColumn("n", F.sum("c").over(whole))
-    )
-    before = F.col("upto") - F.col("c")
-    wanted = F.filter(ranks(F.col("n")), lambda x: (x["r"] > before) & (x["r"] <= F.col("upto")))
-    targets = coarse.select(*keys, "b", "lo", "hi", "n", before.alias("before"), F.explode(wanted).alias("want")).select(
-        *keys, "b", "lo", "hi", "n", F.col("want.tag").alias("tag"), (F.col("want.r") - F.col("before")).alias("r")
-    )
+    coarse = counts.groupBy(*keys, "b").agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    targets = _locate(coarse, keys, "b", ranks).select(*keys, "b", "lo", "hi", "n", "tag", "r")
     if not keys:
         # One row per wanted rank.
         targets = F.broadcast(targets)
@@ -90,7 +95,12 @@ def nearest_rank(df: DataFrame, value: str, percents: list[float], keys: list[st
     return values_at_ranks(count_values(df, F.col(value), keys), keys, ranks)
 
 
-def medians(counts: DataFrame, keys: list[str]) -> DataFrame:
+def has_few_values(counts: DataFrame) -> bool:
+    """For counts that have been written: are there few enough to order them directly?"""
+    return counts.limit(FEW_VALUES + 1).count() <= FEW_VALUES
+
+
+def medians(counts: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
     """(keys, n, median) of counted values; the middle pair is averaged."""
 
     def middle(n: Column) -> Column:
@@ -99,5 +109,5 @@ def medians(counts: DataFrame, keys: list[str]) -> DataFrame:
             F.struct(F.lit(0.0).alias("tag"), low.alias("r")), F.struct(F.lit(1.0).alias("tag"), high.alias("r"))
         )
 
-    pair = values_at_ranks(counts, keys, middle)
+    pair = values_at_ranks(counts, keys, middle, few)
     return pair.groupBy(*keys).agg(F.max("n").alias("n"), F.avg("v").alias("median"))

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import log_id
+from ..functions.text import is_blank
 from ..functions.tokens import (
     SIMILARITY,
     WILDCARD,
@@ -37,8 +38,11 @@ from ..session import materialize
 
 # Fixed value: templates in the report.
 REPORTED = 20
-# Messages per group replayed in order in the first round; doubles each round.
-FIRST_BLOCK = 2_000
+# Messages per group replayed in order in the first round. Later rounds double
+# it, up to the rank limit that Spark applies within each partition before the
+# shuffle; beyond that a whole group would travel to one task.
+FIRST_BLOCK = 250
+RANK_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 _CHANGES = "key string, cluster int, since_idx bigint, since_source string, tokens array<string>, full boolean"
 
@@ -50,8 +54,8 @@ def _at(prefix: str = "") -> Column:
 def grouped_messages(events: DataFrame) -> DataFrame:
     """(key, at, tokens): blank messages have no tokens and are left out."""
     return (
-        events.withColumn("tokens", tokenize("full_request"))
-        .filter(F.size("tokens") > 0)
+        events.filter(~is_blank("full_request"))
+        .withColumn("tokens", tokenize("full_request"))
         .withColumn("key", group_key("tokens"))
         .withColumn("at", _at())
     )
@@ -151,7 +155,8 @@ def learn_templates(events: DataFrame, threshold: float = SIMILARITY, first_bloc
     weights = materialize(messages.groupBy("key").agg(F.count("*").alias("n")), "groups")
     log: DataFrame | None = None
     open_groups: DataFrame | None = None
-    block = first_block
+    limit = int(events.sparkSession.conf.get(RANK_LIMIT, "1000"))
+    block = min(first_block, limit)
     while True:
         by_arrival = Window.partitionBy("key").orderBy("at")
         if log is None:
@@ -194,7 +199,7 @@ def learn_templates(events: DataFrame, threshold: float = SIMILARITY, first_bloc
             open_groups = materialize(still_open.filter(F.col("open_from").isNotNull()), "open")
         if open_groups.isEmpty():
             return log
-        block *= 2
+        block = min(block * 2, limit)
 
 
 def cluster_assignments(events: DataFrame, log: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import is_blank
-from ..plans.lookup import BROADCAST_ROWS
+from ..plans.lookup import fits_broadcast
+from ..session import materialize
 
 
 def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -33,12 +34,13 @@ def with_line_index(lines: DataFrame) -> DataFrame:
     numbered = lines.withColumn("row", F.monotonically_increasing_id())
     blocks = numbered.groupBy("source", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(
-        "source", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift")
-    )
-    # One row per block (128 MB by default): 200,000 of them are 25 TB. Beyond
-    # that the join is left to the planner.
-    if not starts.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    shift = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")
+    # Written once, as the size check and the join would each count the lines.
+    starts = materialize(blocks.select("source", "block", shift.alias("shift")), "blocks")
+    # One row per block (128 MB by default), so 200,000 of them are 25 TB of
+    # text. Beyond that lines meet their block's row in a shuffle; no block is
+    # large, so that is even.
+    if fits_broadcast(starts):
         starts = F.broadcast(starts)
     return numbered.join(starts, ["source", "block"]).select(
         "source", (F.col("row") + F.col("shift")).alias("idx"), "line"
