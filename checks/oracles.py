@@ -190,6 +190,7 @@ ORACLES = {
     "log_events": LOG + VIEW,
     "save_and_load": LOG + VIEW,
     "filter_time_slice": LOG + f"SELECT idx FROM log WHERE ts >= {NEWEST} - INTERVAL 24 HOURS",
+    "saved_time_slice": LOG + f"SELECT idx FROM log WHERE ts >= {NEWEST} - INTERVAL 24 HOURS",
     "filter_text": LOG + "SELECT idx FROM labelled WHERE contains(lower(label), '[db] get') OR contains(lower(full_request), '[db] get')",
     "filter_log_types": LOG + "SELECT idx FROM log WHERE log_type IN ('DATABASE', 'APP')",
     "filter_methods": LOG + "SELECT idx FROM log WHERE method IN ('PUT', 'POST')",

@@ -253,6 +253,13 @@ def saved_events(spark, sf):
     return event_view(tl.load_events(spark, path))
 
 
+def saved_slice(spark, sf):
+    """Time slice on a table saved by date: reads the newest folders only."""
+    path = scratch_path(spark, "by-date")
+    tl.save_events(fx.log_events(ready(spark), sf), path, by_date=True)
+    return tl.query_logs(tl.load_events(spark, path), tl.LogQuery(time_range="24H")).select("idx")
+
+
 def exported_csv(spark, sf):
     path = scratch_path(spark, "export")
     tl.export_csv(fx.log_events(ready(spark), sf), path)
@@ -431,6 +438,7 @@ QUERIES = {
     "read_lines": read_lines,
     "read_gzip_lines": read_gzip_lines,
     "save_and_load": saved_events,
+    "saved_time_slice": saved_slice,
     "export_csv": exported_csv,
     "append": on_events(append),
     "retain_last": on_events(lambda ev: tl.retain_last(ev, 10_000).select("idx")),

@@ -5,8 +5,8 @@ import pytest
 
 from helpers import events
 from tidelog import (
-    clear_events, endpoint_baselines, export_csv, load_events, parse_stream, read_lines, read_zip_lines, save_events,
-    score_stream, stats_on_append, stream_lines, windowed_signals,
+    LogQuery, clear_events, endpoint_baselines, export_csv, load_events, parse_stream, query_logs, read_lines,
+    read_zip_lines, save_events, score_stream, stats_on_append, stream_lines, windowed_signals,
 )
 from tidelog.parsers import ParseContext
 
@@ -61,6 +61,12 @@ def test_save_load_clear(spark, tmp_path):
     assert load_events(spark, path) is None
     save_events(events(spark, [{}, {}]), path, by_date=True)
     assert load_events(spark, path).count() == 2
+    days = events(spark, [{"timestamp": "2025-01-15 10:00:00"}, {"timestamp": "2025-01-16 23:50:00"}, {"timestamp": "2025-01-17 00:10:00"}])
+    save_events(days, path, by_date=True)
+    hour = query_logs(load_events(spark, path), LogQuery(time_range="1H"))
+    assert sorted(r["idx"] for r in hour.collect()) == [1, 2]
+    scan = hour._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in scan and "date#" in scan
     clear_events(spark, path)
     assert load_events(spark, path) is None
 

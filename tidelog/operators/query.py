@@ -47,11 +47,19 @@ class LogQuery:
 
 
 def time_slice(events: DataFrame, time_range: str) -> DataFrame:
-    """Records no older than the range, counted back from the newest record."""
+    """Records no older than the range, counted back from the newest record.
+
+    On a table saved by date only the folders that can hold them are read,
+    both to find the newest record and for the slice.
+    """
     if time_range == "ALL":
         return events
-    newest = events.agg(F.max("timestamp")).scalar()
-    return events.filter(F.col("timestamp") >= newest - F.expr(f"INTERVAL {RANGE_MINUTES[time_range]} MINUTES"))
+    by_date = "date" in events.columns
+    latest = events.filter(F.col("date") == events.agg(F.max("date")).scalar()) if by_date else events
+    newest = latest.agg(F.max("timestamp")).scalar()
+    cutoff = newest - F.expr(f"INTERVAL {RANGE_MINUTES[time_range]} MINUTES")
+    sliced = events.filter(F.col("timestamp") >= cutoff)
+    return sliced.filter(F.col("date") >= F.to_date(cutoff)) if by_date else sliced
 
 
 def query_logs(events: DataFrame, query: LogQuery = LogQuery()) -> DataFrame:

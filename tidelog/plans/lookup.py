@@ -42,7 +42,10 @@ def split_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, h
         hot_rows = big.join(F.broadcast(hot), keys, "inner")
     else:
         # Few keys but wide rows: spread each hot key over several tasks.
-        salted = big.join(hot_keys, keys, "left_semi").withColumn("_salt", F.floor(F.rand(0) * SALTS).cast("int"))
+        # The salt follows from the row, so a task run again sends it the same way.
+        hashable = [c for c, kind in big.dtypes if "map<" not in kind and "variant" not in kind]
+        salt = F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int")
+        salted = big.join(hot_keys, keys, "left_semi").withColumn("_salt", salt)
         copies = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         hot_rows = salted.join(copies, [*keys, "_salt"], "inner").drop("_salt")
     cold_rows = big.join(hot_keys, keys, "left_anti").join(cold, keys, how)
