@@ -180,7 +180,7 @@ ORACLES = {
         severity FROM labelled""",
     "bucket_labels": LOG + """SELECT idx, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seconds, strftime(ts, '%Y-%m-%d %H:%M') AS minutes,
         strftime(time_bucket(INTERVAL 10 MINUTES, ts), '%Y-%m-%d %H:%M') AS ten_minutes, strftime(ts, '%Y-%m-%d %H:00') AS hours FROM log""",
-    "token_algebra": LOG + """SELECT idx, CASE WHEN same THEN 1.0 ELSE 0.5 END AS similarity,
+    "token_algebra": LOG + """SELECT idx, CAST(CASE WHEN same THEN 1.0 ELSE 0.5 END AS DOUBLE) AS similarity,
         method || ' ' || CASE WHEN same THEN raw_path ELSE '<*>' END AS merged, '<*>' AS ip_prefix, '2|' || method AS group_key
         FROM (SELECT *, raw_path = '/api/view/' || (idx % 150) AS same FROM log)""",
     "saturation": LOG + """SELECT event_id, round(least(100, 0.5 * least(100, ln(user_id + 2) * ((latency * 2.5 + ln(user_id + 2)) / 1000) / 8 * 100)
