@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from helpers import events
 from tidelog.operators import templates as T
 
