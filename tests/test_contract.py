@@ -1,5 +1,6 @@
 import __spark_entry__ as entry_module
 from checks.oracles import ORACLES
+from checks.queries import QUERIES
 
 
 def test_entry_and_registration(spark):
@@ -7,5 +8,6 @@ def test_entry_and_registration(spark):
     assert df.columns == ["path", "count", "avg_latency", "error_rate"]
     assert df.count() > 0
     names = entry_module.queries()
+    assert set(QUERIES) <= set(names)
     assert set(entry_module.oracle_sql()) <= set(names)
-    assert set(names) - set(ORACLES) == {"conversation_templates", "mixed_templates"}
+    assert set(QUERIES) - set(ORACLES) == {"conversation_templates", "mixed_templates"}
