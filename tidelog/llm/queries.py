@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, secrets, sentencepiece, token_counts, toxicity, url_filter
+from . import chat_format, decontaminate, secrets, sentencepiece, token_counts, toxicity, url_filter
 
 PIECES = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -19,6 +19,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination_digest(found)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
@@ -49,6 +54,6 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.format_chats(turns.unionByName(chat_format.control_conversation(spark))))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_url_filter, op4_token_counts, op5_toxicity, op7_secrets, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_url_filter, op4_token_counts, op5_toxicity, op7_secrets, op9_chat_format)}
 
-ORACLES = {"op3_url_filter": url_filter.SQL, "op9_chat_format": chat_format.SQL}
+ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_url_filter": url_filter.SQL, "op9_chat_format": chat_format.SQL}
