@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, secrets, sentencepiece, token_counts, toxicity, url_filter
+from . import chat_format, decontaminate, near_dups, secrets, sentencepiece, token_counts, toxicity, url_filter
 
 PIECES = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -45,6 +45,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = near_dups.group_near_duplicates(table(spark, sf_dir, "documents"))
+    return grouped.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -54,6 +59,23 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.format_chats(turns.unionByName(chat_format.control_conversation(spark))))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_url_filter, op4_token_counts, op5_toxicity, op7_secrets, op9_chat_format)}
-
-ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_url_filter": url_filter.SQL, "op9_chat_format": chat_format.SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_decontaminate,
+        op3_url_filter,
+        op4_token_counts,
+        op5_toxicity,
+        op6_minhash,
+        op7_secrets,
+        op9_chat_format,
+    )
+}
+
+ORACLES = {
+    "op2_decontaminate": decontaminate.SQL,
+    "op3_url_filter": url_filter.SQL,
+    "op6_minhash": near_dups.SQL,
+    "op9_chat_format": chat_format.SQL,
+}
