@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, near_dups, secrets, sentencepiece, token_counts, toxicity, url_filter
+from . import chat_format, decontaminate, near_dups, neighbours, secrets, sentencepiece, token_counts, toxicity, url_filter
 
 PIECES = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -54,6 +54,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest_neighbours(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_format.chat_digest(chat_format.format_chats(turns.unionByName(chat_format.control_conversation(spark))))
@@ -69,6 +74,7 @@ QUERIES = {
         op5_toxicity,
         op6_minhash,
         op7_secrets,
+        op8_neighbours,
         op9_chat_format,
     )
 }
