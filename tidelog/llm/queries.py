@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, near_dups, neighbours, secrets, sentencepiece, token_counts, toxicity, url_filter
+from . import chat_format, decontaminate, near_dups, neighbours, secrets, sentencepiece, suffix_dedup, token_counts, toxicity, url_filter
 
 PIECES = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -64,6 +64,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.format_chats(turns.unionByName(chat_format.control_conversation(spark))))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_digest(suffix_dedup.drop_repeated(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES = {
         op7_secrets,
         op8_neighbours,
         op9_chat_format,
+        op10_suffix_dedup,
     )
 }
 
