@@ -26,16 +26,15 @@ from .common import documents, text_chunks, texts
 from .components import components
 
 PERCENT = 85
-#: Pairs estimated below this are no links: more than five standard deviations below the threshold.
-LEAST_ESTIMATE = 0.70
 #: Members of one block of an open bucket.
 BLOCK = 512
 
 SKETCH = "doc_id long, n_shingles long, node long, brief binary, bands array<long>"
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """A sketch per row; `node` is a 64-bit key of the shingle set, null for an empty one."""
+    n_bands, n_rows = supermin.banding(percent)
 
     def sketch(batches):
         for batch in text_chunks(batches, limit=1 << 20):
@@ -43,10 +42,10 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             full = [s for s in sets if len(s)]
             keys, briefs, bands = [], [], []
             for a, b in supermin.chunked(full):
-                sigs = supermin.signatures(full[a:b])
+                sigs = supermin.signatures(full[a:b], n_bands * n_rows)
                 keys += [int.from_bytes(supermin.set_key(s)[:8], "little", signed=True) for s in full[a:b]]
                 briefs += [row.tobytes() for row in supermin.brief(sigs)]
-                bands += list(supermin.band_keys(sigs))
+                bands += list(supermin.band_keys(sigs, n_bands))
             at = iter(range(len(full)))
             place = [next(at) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -111,6 +110,7 @@ def across_components(members: DataFrame, classes: DataFrame, percent: int) -> D
     BLOCK members is cut into blocks, and every two blocks meet in a row of their own, so that a row never holds
     more than about two blocks, however large the bucket.
     """
+    least = supermin.least_estimate(percent)
     open_buckets = (
         members.groupBy("bucket")
         .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
@@ -142,7 +142,7 @@ def across_components(members: DataFrame, classes: DataFrame, percent: int) -> D
                     if i != j:
                         fit &= own[k + 1 :] != own[k]
                     at = np.flatnonzero(fit) + k + 1
-                    at = at[supermin.estimated(sigs[at], sigs[k]) >= LEAST_ESTIMATE]
+                    at = at[supermin.estimated(sigs[at], sigs[k]) >= least]
                     found_a.append(np.minimum(node[at], node[k]))
                     found_b.append(np.maximum(node[at], node[k]))
                 a, b = np.concatenate(found_a), np.concatenate(found_b)
@@ -161,7 +161,7 @@ def group_near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = PERC
     another. Other columns are not read; an empty table gives an empty result.
     """
     docs = documents(docs)
-    drawn = materialize(sketches(docs, shingle), "sketches")
+    drawn = materialize(sketches(docs, shingle, percent), "sketches")
     classes = materialize(
         drawn.filter("node IS NOT NULL")
         .groupBy("node")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -83,6 +84,7 @@ QUERIES = {
         op10_suffix_dedup,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
     "op2_decontaminate": decontaminate.SQL,

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 
-SHINGLE = 3
-BANDS, ROWS = 28, 6
-SLOTS = BANDS * ROWS
+#: Slots of a signature at most, and the probability of a pair at the threshold to share no band.
+MOST_SLOTS = 170
+MISS = 2e-6
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -51,7 +52,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _known[0], _known[1]
 
 
-def shingle_sets(chunk: list[str], k: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(chunk: list[str], k: int) -> list[np.ndarray]:
     """Per text the sorted distinct 64-bit hashes of all runs of `k` words; of the whole text if it has fewer words.
 
     Empty without words. Words are cut at space, \\t, \\n, \\v, \\f and \\r; A-Z are lower-cased.
@@ -78,7 +79,21 @@ def set_key(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
 
-def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows per band: as many rows as MISS and MOST_SLOTS allow at this similarity."""
+    likely = min(percent, 99) / 100
+    fits = [(math.ceil(math.log(MISS) / math.log(1 - likely**rows)), rows) for rows in range(1, 33)]
+    return max((f for f in fits if f[0] * f[1] <= MOST_SLOTS), key=lambda f: f[1], default=(MOST_SLOTS, 1))
+
+
+def least_estimate(percent: int) -> float:
+    """An estimate from a full signature that no pair at the threshold falls below, but for one in ten million."""
+    bands, rows = banding(percent)
+    likely = percent / 100
+    return likely - 5.5 * math.sqrt(likely * (1 - likely) / (bands * rows))
+
+
+def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
     """SuperMinHash: one row of `slots` values per set; sets are not empty.
 
     Every element visits the slots in an order of its own. Its value in the slot it visits as number j is j plus a
@@ -104,7 +119,7 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     return best
 
 
-def band_keys(sigs: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_keys(sigs: np.ndarray, bands: int) -> np.ndarray:
     """A 64-bit key per set and band."""
     rows = sigs.reshape(len(sigs), bands, -1)
     keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), rows.shape[:2]).copy()
