@@ -1,0 +1,120 @@
+import random
+import re
+
+import numpy as np
+from tests.llm.texts import docs, odd_texts, prose
+
+from tidelog.llm import secrets
+
+RANDOM_KEYS = ["kX9vQ2mZr7TbW4yLp0sH", "Zt5/Qw8+Rk2nVb7Yc1Xm9Lp3==", "q7w2e9r4t1y8u3i6o5p0"]
+
+
+def by_hand(text):
+    """The three patterns, one character at a time."""
+    found = []
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    at = 0
+    while at < len(text):
+        hit = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(name, at):
+                continue
+            i = at + len(name)
+            for quoted in (1, 0):
+                j = i + quoted
+                if quoted and text[i : i + 1] not in ('"', "'"):
+                    continue
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] not in (":", "="):
+                    continue
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] in ('"', "'") and text[j : j + 1]:
+                    j += 1
+                k = j
+                while k < len(text) and text[k] in value:
+                    k += 1
+                if k > j:
+                    hit = (j, k)
+                    break
+            if hit:
+                break
+        if hit:
+            if hit[1] - hit[0] >= 12:
+                found.append((at, 0, hit[1]))
+            at = hit[1]
+        else:
+            at += 1
+    for kind, first, rest, least in ((1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18), (2, "", "0123456789abcdef", 16)):
+        at = 0
+        while at < len(text):
+            if text.startswith(first, at) and at + len(first) < len(text) and text[at + len(first)] in rest:
+                end = at + len(first)
+                while end < len(text) and text[end] in rest:
+                    end += 1
+                if end - at >= least:
+                    found.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return sorted(found)
+
+
+def test_patterns_against_a_scan_by_hand():
+    rng = random.Random(3)
+    bits = ["password", "PassWd", "secret", "toKen", "api_key", "APIKEY", '"', "'", " ", ":", "=", "a1", "AKIA", "XYZ", "0f", "_", "é", "ſecret", "toKen=abcdefabcdef", "0123456789abcdef"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert secrets.base_spans(text) == by_hand(text), text
+
+
+def test_models_tell_random_strings_from_words(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 40) + " " + "".join(rng.choice(["inter", "national", "read", "file", "name"]) for _ in range(5))) for i in range(80)]
+    rows += [(100 + i, f"see {key} there") for i, key in enumerate(RANDOM_KEYS)] + [(200, "password=abcdef123456 " + RANDOM_KEYS[0])]
+    found = {r["doc_id"]: r for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    assert all(not found[i]["added"] for i in range(80))
+    for i, key in enumerate(RANDOM_KEYS):
+        assert [r["text"][s["start"] : s["end"]] for r in [found[100 + i]] for s in r["added"]] == [key]
+    assert [s["kind"] for s in found[200]["base"]] == ["assign"] and len(found[200]["added"]) == 1
+
+
+def test_held_out_samples():
+    """Trained on one half of labelled strings, the models part the other half."""
+    rng = random.Random(9)
+    parts = ["get", "User", "name", "_", "count", "index", "Of", "the", "number", "ing", "tion", "value", "list"]
+    words = ["".join(rng.choice(parts) for _ in range(6)) for _ in range(600)]
+    words = [w for w in words if len(w) >= 16]
+    drawn = secrets.drawn_at_random(600)
+    ratio = secrets.log_ratio(secrets.pair_counts(drawn[::2]), secrets.pair_counts(words[::2]))
+    right = [secrets.score(t, ratio) > 0 for t in drawn[1::2]] + [secrets.score(t, ratio) <= 0 for t in words[1::2]]
+    assert np.mean(right) > 0.98
+
+
+def test_odd_texts_and_digest(spark):
+    rows = list(enumerate(odd_texts())) + [(5, "token: 'é"), (6, "AKIA" + "A" * 14), (7, "AKIA" + "A" * 13), (7, "AKIA" + "A" * 13), (8, "f" * 16 + " password=" + "0" * 16)]
+    found = secrets.secret_digest(secrets.scan_secrets(docs(spark, rows))).collect()
+    assert len(found) == len(rows)
+    by_id = {r["doc_id"]: r for r in found}
+    assert (by_id[6]["n_access"], by_id[6]["spans"]) == (1, "access:0:18") and by_id[7]["n_access"] == 0
+    assert by_id[8]["spans"] == "hex:0:16,assign:17:42,hex:26:42"
+    assert by_id[8]["base_sha256"] == secrets.sha("hex:0:16,assign:17:42,hex:26:42")
+    assert by_id[0]["spans"] == "" and by_id[0]["base_sha256"] == secrets.sha("")
+    assert secrets.secret_digest(secrets.scan_secrets(docs(spark, []))).collect() == []
+
+
+def test_redaction(spark):
+    assert secrets.redact("ab cd ef", [(3, 5), (4, 7)]) == "ab [secret]f"
+    assert secrets.redact("abc", []) == "abc"
+    table = docs(spark, [(1, "x password=abcdef123456 y"), (2, None), (3, "plain")])
+    out = secrets.redact_secrets(table)
+    assert out.dtypes == table.dtypes
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {1: ("x [secret] y", 12), 2: (None, None), 3: ("plain", 5)}
+
+
+def test_tokens_are_whole():
+    assert [m.group() for m in secrets.TOKEN.finditer("ab-" + "c" * 20 + " " + "d" * 15)] == ["ab-" + "c" * 20]
+    assert re.fullmatch(r"[A-Za-z0-9+/_=-]+", secrets.ALPHABET)

@@ -51,3 +51,12 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def documents(docs: DataFrame) -> DataFrame:
     """The two columns that operators on documents read, whatever else the table holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
+    """The rows of `docs` that no row of `gone` meets by `same`, a condition on doc_id, text and columns of `gone`.
+
+    The other columns travel in a struct, so their names can't clash. `gone` is broadcast if its size allows it.
+    """
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(small(gone), same, "left_anti").select("_row.*")

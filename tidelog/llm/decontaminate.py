@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidelog.plans.lookup import fits_broadcast
 from tidelog.session import materialize
 
-from .common import ascii_lower, documents, repeated
+from .common import ascii_lower, documents, repeated, without
 
 WINDOW = 10
 RUN = 7
@@ -155,12 +155,10 @@ def contamination_digest(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """The rows of `docs` without a word that is hit; all columns stay."""
-    bad = materialize(gather_hits(docs, items, n).filter("n_hit > 0").select("doc_id", "key"), "contaminated")
-    bad = F.broadcast(bad) if fits_broadcast(bad) else bad
-    d = docs.select("*", F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key")).alias("d")
+    bad = materialize(gather_hits(docs, items, n).filter("n_hit > 0"), "contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_text"))
     # A document that is hit has a text, so only its id can be null.
-    same = F.col("d._id").eqNullSafe(F.col("b.doc_id")) & (F.col("d._key") == F.col("b.key"))
-    return d.join(bad.alias("b"), same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    key = text_key()
+    return without(docs, bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_text")))
 
 
 _WORDS = (

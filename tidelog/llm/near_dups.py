@@ -22,7 +22,7 @@ from tidelog.plans.lookup import fits_broadcast, lookup_join
 from tidelog.session import materialize
 
 from . import supermin
-from .common import documents, text_chunks, texts
+from .common import documents, text_chunks, texts, without
 from .components import components
 
 PERCENT = 85
@@ -205,8 +205,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` whose id names their group of near duplicates; all columns stay."""
     grouped = group_near_duplicates(docs, shingle, percent)
     gone = materialize(grouped.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    gone = F.broadcast(gone) if fits_broadcast(gone) else gone
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return without(docs, gone, F.col("doc_id").cast("long") == F.col("_gone"))
 
 
 _WORDS = (

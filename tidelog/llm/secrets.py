@@ -2,7 +2,7 @@
 
 One model is of random strings, the other of ordinary identifiers; a token whose log-likelihood ratio is high
 enough is taken for a secret. Both are trained from labelled samples: what the patterns find and strings drawn
-at random on one side, the other long tokens of the documents on the other.
+at random on one side, words and identifiers of the documents on the other.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{16,}")
+#: Labelled ordinary when training: letters, in parts, with a short number at the end.
+ORDINARY = re.compile("[A-Za-z]+(?:[_-][A-Za-z]+)*[0-9]{0,4}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Code of each character below 128; row and column `len(ALPHABET)` of a model stand for the token's edge.
-CODE = np.full(128, 0, dtype=np.int64)
-CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
+#: Code of each character below 128; row and column EDGE of a model, a line break here, stand for the token's edge.
 EDGE = len(ALPHABET)
+CODE = np.zeros(128, np.int64)
+CODE[[ord(c) for c in ALPHABET + "\n"]] = np.arange(EDGE + 1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -48,9 +50,8 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def codes(token: str) -> np.ndarray:
-    inner = CODE[np.frombuffer(token.encode("ascii"), dtype=np.uint8)]
-    return np.concatenate(([EDGE], inner, [EDGE]))
+def codes(tokens: list[str]) -> np.ndarray:
+    return CODE[np.frombuffer("\n".join(["", *tokens, ""]).encode("ascii"), np.uint8)]
 
 
 def free_tokens(text: str, taken: list[tuple[int, int, int]]) -> list[re.Match]:
@@ -60,11 +61,14 @@ def free_tokens(text: str, taken: list[tuple[int, int, int]]) -> list[re.Match]:
 
 def pair_counts(tokens: list[str]) -> np.ndarray:
     """How often each character follows each other one."""
-    counts = np.zeros((EDGE + 1, EDGE + 1))
-    for t in tokens:
-        c = codes(t)
-        np.add.at(counts, (c[:-1], c[1:]), 1)
-    return counts
+    c = codes(tokens)
+    return np.bincount(c[:-1] * (EDGE + 1) + c[1:], minlength=(EDGE + 1) ** 2).reshape(EDGE + 1, EDGE + 1) * float(len(tokens) > 0)
+
+
+def ordinary_tokens(text: str) -> list[str]:
+    """Longer words and identifiers of a text; also in capitals, as their case doesn't make them random."""
+    words = {w for w in text.replace(",", " ").replace(".", " ").split() if len(w) >= 8 and ORDINARY.fullmatch(w)}
+    return [v for w in words for v in (w, w.upper(), w.capitalize())]
 
 
 def drawn_at_random(n: int, seed: int = 7) -> list[str]:
@@ -73,14 +77,19 @@ def drawn_at_random(n: int, seed: int = 7) -> list[str]:
     return ["".join(draw.choices(kinds[i % len(kinds)], k=draw.randint(16, 44))) for i in range(n)]
 
 
-def log_ratio(random_counts: np.ndarray, ordinary_counts: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
+def probabilities(counts: np.ndarray, trust: float = 8.0) -> np.ndarray:
+    """P(next | this); a rarely seen character's successors are drawn towards how often each character comes at all."""
+    single = counts.sum(0) + 0.5
+    return (counts + trust * single / single.sum()) / (counts.sum(1, keepdims=True) + trust)
+
+
+def log_ratio(random_counts: np.ndarray, ordinary_counts: np.ndarray) -> np.ndarray:
     """log P(next | this) under random strings less the same under ordinary identifiers."""
-    a, b = random_counts + smoothing, ordinary_counts + smoothing
-    return np.log(a / a.sum(1, keepdims=True)) - np.log(b / b.sum(1, keepdims=True))
+    return np.log(probabilities(random_counts)) - np.log(probabilities(ordinary_counts))
 
 
 def score(token: str, ratio: np.ndarray) -> float:
-    c = codes(token)
+    c = codes([token])
     return float(ratio[c[:-1], c[1:]].sum())
 
 
@@ -98,9 +107,7 @@ def train(docs: DataFrame, sample_rows: int, drawn: int) -> np.ndarray:
             for text in texts(batch):
                 base = base_spans(text)
                 secret += [text[a:b] for a, k, b in base if k]
-                plain += [m.group() for m in free_tokens(text, base)]
-                # Words of twelve letters and more are ordinary too, and far more of them are seen.
-                plain += [w for w in text.split() if 12 <= len(w) < 16 and w.isascii() and w.isalpha()]
+                plain += ordinary_tokens(text)
             for label, tokens in ((1, secret), (0, plain)):
                 at = np.nonzero(pairs := pair_counts(tokens))
                 yield pa.RecordBatch.from_arrays(
