@@ -12,13 +12,15 @@ last piece of what stands before it. Two neighbours are compatible if their conc
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import documents, text_chunks, texts
 
@@ -210,26 +212,33 @@ def marked_words(text: str) -> list[str]:
     return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def encode_documents(docs: DataFrame, path: str, cache_words: int = 300_000) -> DataFrame:
+def encoded_chunks(batches: Iterator[pa.RecordBatch], path: str, cache_words: int = 200_000):
+    """Chunks of the batches, each with its texts' packed ids.
+
+    A worker keeps the encodings of at most `cache_words` words besides one chunk's.
+    """
+    model, cache = load(path)
+    for batch in text_chunks(batches, limit=2 << 20):
+        words = [marked_words(t) for t in texts(batch)]
+        new = {w for ws in words for w in ws if w not in cache}
+        if len(cache) + len(new) > cache_words:
+            cache.clear()
+            new = {w for ws in words for w in ws}
+        order = sorted(new)
+        cache.update(zip(order, model.encode_sorted(order)))
+        yield batch, [b"".join([cache[w] for w in ws]) for ws in words]
+
+
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, text, ids (little-endian int32, packed) per row of `docs`.
 
     `path` is a SentencePiece model on every machine, without begin and end marks, its normaliser the identity
     with a dummy prefix, as the library encodes with it. Null and empty texts have no ids; repeated rows and null
-    ids are kept. A worker keeps the encodings of at most `cache_words` words besides one chunk's; nothing is
-    shuffled.
+    ids are kept; other columns are not read. Nothing is shuffled.
     """
 
     def encode(batches):
-        model, cache = load(path)
-        for batch in text_chunks(batches):
-            words = [marked_words(t) for t in texts(batch)]
-            new = {w for ws in words for w in ws if w not in cache}
-            if len(cache) + len(new) > cache_words:
-                cache.clear()
-                new = {w for ws in words for w in ws}
-            order = sorted(new)
-            cache.update(zip(order, model.encode_sorted(order)))
-            ids = [b"".join([cache[w] for w in ws]) for ws in words]
+        for batch, ids in encoded_chunks(batches, path):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.binary())], ["doc_id", "text", "ids"])
 
     return documents(docs).mapInArrow(encode, "doc_id long, text string, ids binary")
@@ -237,7 +246,6 @@ def encode_documents(docs: DataFrame, path: str, cache_words: int = 300_000) ->
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """The rows of `encoded` with a column `decoded`, the text that the packed ids spell."""
-    schema = f"{', '.join(f'`{c}` {t}' for c, t in encoded.dtypes)}, decoded string"
 
     def decode(batches):
         model, _ = load(path)
@@ -245,33 +253,40 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFra
             back = [None if b is None else model.decode(np.frombuffer(b, "<i4")) for b in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(decode, schema)
+    return encoded.mapInArrow(decode, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pieces, ids_sha256, round_trip: the encoding's length and digest, and whether it decodes to the text.
 
-    Decoding can't bring back a `▁` of the text, which reads as a space.
+    Decoding can't bring back a `▁` of the text, which reads as a space. Encoding and decoding share a worker, so
+    that the model is held once per task.
     """
-    done = decode_documents(encode_documents(docs, path), path)
-    plain = F.translate(F.coalesce("text", F.lit("")), MARK, " ")
-    return done.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        (F.col("decoded") == plain).alias("round_trip"),
-    )
+
+    def check(batches):
+        model, _ = load(path)
+        for batch, packed in encoded_chunks(batches, path):
+            plain = [t.replace(MARK, " ") for t in texts(batch)]
+            same = [model.decode(np.frombuffer(b, "<i4")) == t for b, t in zip(packed, plain)]
+            columns = [
+                batch.column("doc_id"),
+                pa.array([len(b) // 4 for b in packed], pa.int64()),
+                pa.array([hashlib.sha256(b).hexdigest() for b in packed]),
+                pa.array(same),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_sha256", "round_trip"])
+
+    return documents(docs).mapInArrow(check, "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean")
 
 
 def piece_arrays(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, pieces (array of int) per row of `docs`."""
 
-    def unpack(batches):
-        for batch in batches:
-            packed = batch.column("ids")
-            sizes = pc.divide(pc.binary_length(packed), 4).to_numpy(zero_copy_only=False)
-            flat = np.frombuffer(b"".join(packed.to_pylist()), "<i4")
-            pieces = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat, pa.int32()))
+    def encode(batches):
+        for batch, packed in encoded_chunks(batches, path):
+            cuts = np.concatenate(([0], np.cumsum([len(b) // 4 for b in packed])))
+            flat = np.frombuffer(b"".join(packed), "<i4")
+            pieces = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pieces], ["doc_id", "pieces"])
 
-    return encode_documents(docs, path).select("doc_id", "ids").mapInArrow(unpack, "doc_id long, pieces array<int>")
+    return documents(docs).mapInArrow(encode, "doc_id long, pieces array<int>")
