@@ -7,7 +7,7 @@ but the last return the columns of `documents`.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import decontaminate, near_dups, secrets, sentencepiece, toxicity
 from tidelog.session import materialize
@@ -18,7 +18,7 @@ PIECES = "piece_bpe_32k.model"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 by a model trained on the labels of these documents."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(docs, model).filter(F.col("toxicity") < 0.5).select(*docs.columns)
+    return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 An n-gram counts once per document. Its feature value is the log ratio of its document frequencies among toxic
 and other labelled texts, so that logistic regression, whose penalty is the same for all weights, moves the
-telling n-grams first. N-grams are hashed into a table of fixed size; the model is one array of that size.
+telling n-grams first. Only n-grams that speak for toxicity are features, with weights that are not negative: a
+single insult counts the same however much else a text holds. That a long text holds more of everything is taught
+by mixtures of labelled texts. N-grams are hashed into a table of fixed size; the model is one array of that size.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidelog.session import materialize
 
@@ -39,7 +42,7 @@ def buckets(chunk: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for n in range(1, max(ORDERS) + 1):
         h = h[: len(flat) - n + 1] * np.uint32(0x01000193) + flat[n - 1 :] + np.uint32(n)
         if n in ORDERS:
-            # An n-gram that begins in the pad after one text would reach into the next one.
+            # An n-gram that begins at the very end of one padded text would reach into the next one.
             inside = np.ones(len(h), bool)
             for k in range(1, n):
                 inside[np.minimum(ends[:-1] - k, len(h) - 1)] = False
@@ -54,8 +57,10 @@ def features(chunk: list[str], chosen: np.ndarray | None) -> tuple[np.ndarray, n
             at = np.flatnonzero(chosen[bucket])
             owner, bucket = owner[at], bucket[at]
         pairs.append(owner.astype(np.int64) << BITS | bucket)
-    found = np.unique(np.concatenate(pairs))
-    return (found >> BITS).astype(np.int64), found & ((1 << BITS) - 1)
+    found = np.concatenate(pairs)
+    found.sort()
+    found = found[np.append(True, found[1:] != found[:-1])[: len(found)]]
+    return found >> BITS, found & ((1 << BITS) - 1)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -80,34 +85,40 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, tasks: int = 8, least_z: float = 4.0) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, tasks: int = 8, least_z: float = 2.5, most_features: int = 2048) -> Toxicity:
     """Fit to a sample of at most `most` labelled documents.
 
-    Each of `tasks` tasks counts one part of the sample into a table of fixed size; those tables and, per document,
-    the few chosen buckets it has are all that reaches the driver.
+    `tasks` tasks count one part of the sample each, Spark adds up and picks the buckets whose log ratio is the most
+    standard errors above nothing, at least `least_z` and at most `most_features` of them. Those, and per document
+    the few of them it has, are all that reaches the driver.
     """
-    sample = materialize(labelled_sample(docs, labels, most).repartition(tasks), "toxicity-sample")
+    sample = materialize(labelled_sample(docs, labels, most).repartition(tasks), "toxicity-sample").coalesce(tasks)
 
     def count(batches):
-        tables, n = np.zeros((2, 1 << BITS), np.uint32), np.zeros(2, np.int64)
+        tables = np.zeros((2, 1 << BITS), np.int32)
         for batch in text_chunks(batches, limit=1 << 20):
             label = batch.column("toxic").to_numpy(zero_copy_only=False)
             doc, bucket = features(texts(batch), None)
             for k in (0, 1):
-                tables[k] += np.bincount(bucket[label[doc] == k], minlength=1 << BITS).astype(np.uint32)
-                n[k] += (label == k).sum()
-        yield pa.RecordBatch.from_arrays([pa.array([tables.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["tables", "n"])
-
-    parts = sample.coalesce(tasks).mapInArrow(count, "tables binary, n binary")
-    df, n = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for row in parts.toLocalIterator():
-        df += np.frombuffer(row["tables"], np.uint32).reshape(2, -1)
-        n += np.frombuffer(row["n"], np.int64)
-    if not n.all():
-        return Toxicity(np.zeros(1 << BITS, np.float32), float(np.log((n[1] + 0.5) / (n[0] + 1.5))))
-    ratio = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
-    sure = np.abs(ratio) / np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
-    chosen = (df.sum(0) >= 5) & (sure >= least_z)
+                tables[k] += np.bincount(bucket[label[doc] == k], minlength=1 << BITS).astype(np.int32)
+        found = np.flatnonzero(tables.any(0))
+        for start in range(0, len(found), 50_000):
+            part = found[start : start + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(t[part]) for t in tables)], ["bucket", "other", "toxic"])
+
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        bias = float(np.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 1.5)))
+        return Toxicity(np.zeros(1 << BITS, np.float32), bias)
+    seen = sample.mapInArrow(count, "bucket int, other int, toxic int").groupBy("bucket")
+    seen = seen.agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).filter("other + toxic >= 5")
+    ratio = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("other") + 0.5) / (n[0] + 1))
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
+    telling = seen.select("bucket", ratio.alias("ratio"), (ratio / error).alias("z")).filter(F.col("z") >= least_z)
+    telling = telling.orderBy(F.desc("z"), "bucket").limit(most_features).toArrow()
+    ratio = np.zeros(1 << BITS)
+    ratio[telling.column("bucket").to_numpy()] = telling.column("ratio").to_numpy()
+    chosen = ratio != 0
 
     def design(batches):
         for batch in text_chunks(batches, limit=1 << 20):
@@ -118,29 +129,60 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, tasks: int = 8
 
     rows = sample.mapInArrow(design, "toxic int, buckets array<int>").toArrow()
     label = rows.column("toxic").to_numpy()
-    held = rows.column("buckets").combine_chunks()
-    sizes = np.diff(held.offsets.to_numpy())
-    weights, bias = fit(np.repeat(np.arange(len(label)), sizes), held.flatten().to_numpy(), label, ratio)
-    return Toxicity(weights, bias)
-
-
-def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, ratio: np.ndarray, penalty: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on the scaled features, by accelerated gradient descent; weights per bucket, scale included."""
-    names, at = np.unique(bucket, return_inverse=True)
+    lists = [c.values.to_numpy() for c in rows.column("buckets")]
+    lists, label = with_mixtures(lists, label)
+    return Toxicity(*fit(np.repeat(np.arange(len(label)), [len(x) for x in lists]), np.concatenate(lists), label, ratio))
+
+
+def with_mixtures(lists: list[np.ndarray], label: np.ndarray, seed: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """The documents and a quarter more: texts of up to 40 clean documents together, some with a toxic one added."""
+    draw = np.random.default_rng(seed)
+    clean, toxic = np.flatnonzero(label == 0), np.flatnonzero(label == 1)
+    more, marks = [], []
+    for k in range(len(lists) // 4):
+        both = np.unique(np.concatenate([lists[i] for i in draw.choice(clean, draw.integers(2, 41))]))
+        more.append(both)
+        marks.append(0)
+        if k % 8 == 0:
+            more.append(np.union1d(both, lists[draw.choice(toxic)]))
+            marks.append(1)
+    return lists + more, np.append(label, marks).astype(np.int64)
+
+
+def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, ratio: np.ndarray, penalty: float = 1.0, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Logistic regression on the scaled features, by accelerated gradient descent; weights per bucket, scale included.
+
+    Weights are kept from falling below nothing.
+    """
+    place = np.zeros(1 << BITS, np.int64)
+    place[bucket] = 1
+    names = np.flatnonzero(place)
+    place[names] = np.arange(len(names))
+    at = place[bucket]
     scale = ratio[names]
     value = scale[at]
-    # The step follows from a bound on the curvature: a quarter of the largest squared row norm, summed over rows.
-    norm = np.bincount(doc, value**2, minlength=len(label)) + 1
-    step = 4 / (norm.sum() + 4 * penalty)
-    w = last = np.zeros(len(names) + 1)
-    best = -np.log((len(label) - label.sum() + 0.5) / (label.sum() + 0.5))
-    w = last = np.append(w[:-1], best)
+    n = len(label)
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        return np.bincount(doc, v[at] * value, minlength=n)
+
+    def backward(g: np.ndarray) -> np.ndarray:
+        return np.bincount(at, g[doc] * value, minlength=len(names))
+
+    # A step of one over the largest curvature, a quarter of the largest eigenvalue of the scatter matrix.
+    v, top = np.full(len(names), 1.0), 1.0
+    for _ in range(8):
+        u = backward(forward(v))
+        top = np.linalg.norm(u) / max(np.linalg.norm(v), 1e-300)
+        v = u / max(np.linalg.norm(u), 1e-300)
+    step = 1 / (0.25 * (1.2 * top + n) + penalty)
+    w = last = np.append(np.zeros(len(names)), np.log((label.sum() + 0.5) / (n - label.sum() + 0.5)))
     for k in range(rounds):
         v = w + (k / (k + 3)) * (w - last)
-        z = np.bincount(doc, v[:-1][at] * value, minlength=len(label)) + v[-1]
-        gap = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - label
-        slope = np.append(np.bincount(at, gap[doc] * value, minlength=len(names)) + penalty * v[:-1], gap.sum())
+        gap = 1 / (1 + np.exp(-np.clip(forward(v[:-1]) + v[-1], -50, 50))) - label
+        slope = np.append(backward(gap) + penalty * v[:-1], gap.sum())
         last, w = w, v - step * slope
+        w[:-1] = np.maximum(w[:-1], 0)
     weights = np.zeros(1 << BITS, np.float32)
     weights[names] = w[:-1] * scale
     return weights, float(w[-1])
@@ -152,6 +194,17 @@ def scores(chunk: list[str], model: Toxicity) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def keep_clean(docs: DataFrame, model: Toxicity) -> DataFrame:
+    """The rows of `docs` that score below 0.5; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch in text_chunks(batches, limit=1 << 20):
+            yield batch.filter(pa.array(scores(texts(batch), shared.value) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
     """The rows and columns of `docs` with a last column `toxicity` (0 to 1, replacing one of that name).
 
@@ -166,5 +219,4 @@ def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
             found = scores(texts(batch), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "toxicity"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(score, f"{schema}, toxicity double")
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
