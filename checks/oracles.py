@@ -124,6 +124,10 @@ def mixed() -> str:
     return LOG + " UNION ALL ".join(parts)
 
 
+def mixed_stream() -> str:
+    return f"SELECT * EXCLUDE (idx) FROM ({mixed()})"
+
+
 def many_sources() -> str:
     rows = {"clf": "is_error", "json": "is_error", "csv": "is_error", "w3c": "is_error", "k8s": "status >= 500"}
     return LOG + " UNION ALL ".join(
@@ -249,14 +253,26 @@ ORACLES = {
     "detect_format": "SELECT source, format, CAST(score AS DOUBLE) AS score FROM (VALUES "
     + ", ".join(f"('{k}.log', '{k}', 1.0)" for k in (*TEXT_KINDS, "json"))
     + ", ('csv.log', 'csv', 0.8), ('w3c.log', 'csv', 1.0), ('mixed.log', 'clf', 0.12)) t(source, format, score)",
-    "read_lines": LINE_REPORT,
+    "read_lines": LOG + """SELECT event_id % 2 AS part, row_number() OVER (PARTITION BY event_id % 2 ORDER BY event_id) - 1 AS idx,
+        full_request || ' ' || event_id AS line FROM log WHERE event_id % 10 >= 2""",
     "read_gzip_lines": LINE_REPORT,
     "export_csv": LOG + """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS "Timestamp", severity AS "Severity", method AS "Method", path AS "Path",
         status AS "Status", round(latency, 6) AS latency, full_request AS "Message", user_agent AS "UserAgent", remote_ip AS "RemoteIP" FROM log""",
     "append": LOG + """, m AS (SELECT max(idx) + 1 AS start FROM log WHERE log_type = 'HTTP')
         SELECT log_type, count(*) AS n, min(idx) + CASE WHEN log_type = 'HTTP' THEN 0 ELSE any_value(start) END AS lo,
           max(idx) + CASE WHEN log_type = 'HTTP' THEN 0 ELSE any_value(start) END AS hi FROM log, m GROUP BY log_type""",
-    "retain_last": LOG + "SELECT idx FROM log ORDER BY idx DESC LIMIT 10000",
+    "append_ids": LOG + ", m AS (SELECT max(idx) + 1 AS start FROM log WHERE log_type = 'HTTP') SELECT idx + start AS idx, "
+    + fnv("(idx + start) || ':' || full_request") + " AS id FROM log, m WHERE log_type <> 'HTTP'",
+    "clear_events": "SELECT count(*) AS n, false AS loaded FROM events WHERE false",
+    "get_field": LOG + """SELECT event_id, CAST(k AS BIGINT) AS nested, CASE WHEN event_id % 2 = 0 THEN CAST(1 AS BIGINT) END AS hidden FROM r""",
+    "json_documents": LOG + "SELECT idx, 'GET' AS method, path, status FROM log WHERE event_id % 8 IN (0, 4)",
+    "register_parser": LOG + "SELECT idx, 'HASH' AS method, raw_path AS path, status, is_error FROM log",
+    "parse_stream_mixed": mixed_stream(),
+    "filter_negative_latency": LOG + "SELECT idx FROM log WHERE method = 'GET' AND (idx % 2 = 0 OR latency = 0)",
+    "search_accents": LOG + "SELECT idx FROM log WHERE idx % 3 = 0 AND method = 'GET'",
+    "aggregate_stats": LOG + f"SELECT * FROM ({KPIS}) k, (SELECT "
+    + ", ".join(f"round(quantile_disc(latency, {p / 100}), 6) AS p{p}" for p in (50, 90, 95, 99)) + " FROM log) q",
+    "retain_last": LOG + "SELECT idx FROM log ORDER BY idx DESC LIMIT 1000",
     "parse_stream": LOG + "SELECT s_time AS time, method, path, status, round(latency, 6) AS latency, remote_ip, is_error FROM log",
     "windowed_signals": LOG + """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') || '.000' AS start, count(*) AS count,
         count(*) FILTER (is_error) AS error_count, round(avg(latency), 6) AS avg_latency,

@@ -9,8 +9,8 @@ from tidelog import fixtures as fx
 from tidelog import functions as fn
 from tidelog.operators import stats
 from tidelog.operators.templates import all_templates, grouped_messages
-from tidelog.parsers import GENERIC, known_formats, parse_csv, parse_json
-from tidelog.parsers.base import ParseContext
+from tidelog.parsers import GENERIC, get_field as read_field, known_formats, parse_csv, parse_json
+from tidelog.parsers.base import ParseContext, ParserSpec
 from tidelog.session import materialize, scratch_path
 
 NOW = "2030-01-01 00:00:00"
@@ -193,6 +193,57 @@ def parse_mixed(spark, sf):
     )
 
 
+def get_field(spark, sf):
+    e = fx.read_table(ready(spark), sf, "events")
+    digits = F.regexp_extract("props", r"(\d+)", 1)
+    odd = F.concat(F.lit('{"a.b":'), digits, F.lit(',"a":{"b":0},"n":null}'))
+    even = F.concat(F.lit('{"a":{"b":'), digits, F.lit('},"c":1}'))
+    v = F.parse_json(F.when(F.col("event_id") % 2 == 1, odd).otherwise(even))
+    return e.select(
+        "event_id",
+        read_field(v, ("x", "a.b", "c")).cast("long").alias("nested"),
+        read_field(v, ("n", "c")).cast("long").alias("hidden"),
+    )
+
+
+def json_documents(spark, sf):
+    """Lines that are one document, two, one with more behind it, one with a key that comes twice, and none."""
+    r = fx.requests(ready(spark), sf)
+    one = F.format_string('{"message":"GET %s","status":%d}', F.col("raw_path"), F.col("status"))
+    kinds = [
+        one, F.concat(one, F.lit(" "), one), F.concat(one, F.lit("}")), F.concat(one, F.lit("],["), one),
+        F.concat(F.lit('{"a":1,"a":2,'), F.substr(one, F.lit(2))), F.concat(one, F.lit(" x")), F.lit("{'a':1}"), F.lit("null"),
+    ]
+    turn = F.col("event_id") % len(kinds)
+    line = F.when(turn == 0, kinds[0])
+    for i, k in enumerate(kinds[1:], 1):
+        line = line.when(turn == i, k)
+    lines = r.select(F.lit("j").alias("source"), F.col("event_id").alias("idx"), line.alias("line"))
+    return parse_json(lines, context()).select("idx", "method", "path", "status")
+
+
+def registered_format(spark, sf):
+    """A format of the user's own, settled on for a source of its lines."""
+    spec = ParserSpec(
+        id="hashes",
+        matches=lambda line: line.startswith("##"),
+        fields=lambda line, groups: {
+            "method": F.lit("HASH"),
+            "path": F.split_part(line, F.lit("|"), F.lit(2)),
+            "status": F.split_part(line, F.lit("|"), F.lit(3)).cast("int"),
+        },
+    )
+    r = fx.requests(ready(spark), sf)
+    lines = r.select(
+        F.lit("h").alias("source"), F.col("event_id").alias("idx"), F.concat_ws("|", F.lit("##"), "raw_path", "status").alias("line")
+    )
+    forget = tl.register_parser(spec)
+    try:
+        return tl.parse_logs(lines, context()).select("idx", "method", "path", "status", "is_error")
+    finally:
+        forget()
+
+
 def parse_many_sources(spark, sf):
     ready(spark)
     kinds = ["clf", "json", "csv", "w3c", "k8s"]
@@ -240,7 +291,20 @@ def _line_report(lines: DataFrame) -> DataFrame:
 
 
 def read_lines(spark, sf):
-    return _line_report(tl.read_lines(spark, _written_lines(spark, sf)))
+    """Lines of two files, every tenth one blank, in blocks of 64 KiB when indexed and of another size when read."""
+    path = scratch_path(spark, "lines")
+    texts = fx.requests(ready(spark), sf).select(
+        (F.col("event_id") % 2).alias("part"), "event_id",
+        F.when(F.col("event_id") % 10 < 2, " ").otherwise(F.concat_ws(" ", "method", "raw_path", "event_id")).alias("line"),
+    )
+    texts.repartition(2, "part").sortWithinPartitions("part", "event_id").select("part", "line").write.partitionBy("part").text(path)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 65_536)
+    try:
+        lines = tl.read_lines(spark, path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    return lines.select(F.regexp_extract("source", r"part=(\d)", 1).cast("long").alias("part"), "idx", "line")
 
 
 def read_gzip_lines(spark, sf):
@@ -270,6 +334,19 @@ def exported_csv(spark, sf):
     )
 
 
+def append_ids(ev):
+    both = tl.append(ev.filter("log_type = 'HTTP'"), ev.filter("log_type <> 'HTTP'"))
+    return both.filter("log_type <> 'HTTP'").select("idx", "id")
+
+
+def cleared(spark, sf):
+    path = scratch_path(spark, "cleared")
+    tl.save_events(fx.log_events(ready(spark), sf), path)
+    tl.clear_events(spark, path)
+    left = spark.read.parquet(path).agg(F.count("*").alias("n"))
+    return left.withColumn("loaded", F.lit(tl.load_events(spark, path) is not None))
+
+
 def append(ev):
     both = tl.append(ev.filter("log_type = 'HTTP'"), ev.filter("log_type <> 'HTTP'"))
     return both.groupBy("log_type").agg(F.count("*").alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi"))
@@ -349,6 +426,32 @@ def parse_stream(spark, sf):
     )
 
 
+def parse_stream_mixed(spark, sf):
+    """A stream settled on one format in which the other formats' lines turn up."""
+    path = scratch_path(spark, "mixed-lines")
+    fx.mixed_lines(ready(spark), sf).repartition(4).select("line").write.text(path)
+    parsed = tl.parse_stream(tl.stream_lines(spark, path), "clf", context())
+    return _drain(spark, parsed, "parsed").select(
+        stamp().alias("time"), "method", "path", "status", r6("latency").alias("latency"), "is_error", "severity", "log_type"
+    )
+
+
+def negative_latency(ev):
+    """A view in which half the latencies are below nothing, under a filter that doesn't name them."""
+    odd = ev.withColumn("latency", F.when(F.col("idx") % 2 == 1, -F.col("latency")).otherwise(F.col("latency")))
+    return tl.query_logs(odd, tl.LogQuery(methods=("GET",))).select("idx")
+
+
+def search_accents(ev):
+    said = F.concat(F.when(F.col("idx") % 3 == 0, "ÉCHEC ").otherwise("echec "), "raw_line")
+    return tl.search(ev.withColumn("raw_line", said), r"(?<what>échec) get").select("idx")
+
+
+def stats_bundle(ev):
+    s = tl.aggregate_stats(ev)
+    return rounded(s["kpis"].crossJoin(s["latency_percentiles"]), "avg_latency", "error_rate", "p50", "p90", "p95", "p99")
+
+
 def windowed_signals(ev):
     out = tl.windowed_signals(ev, "1 hour")
     return rounded(out.withColumn("start", stamp("start")), "avg_latency", "p95_latency")
@@ -441,7 +544,16 @@ QUERIES = {
     "saved_time_slice": saved_slice,
     "export_csv": exported_csv,
     "append": on_events(append),
-    "retain_last": on_events(lambda ev: tl.retain_last(ev, 10_000).select("idx")),
+    "append_ids": on_events(append_ids),
+    "clear_events": cleared,
+    "get_field": get_field,
+    "json_documents": json_documents,
+    "register_parser": registered_format,
+    "parse_stream_mixed": parse_stream_mixed,
+    "filter_negative_latency": on_events(negative_latency),
+    "search_accents": on_events(search_accents),
+    "aggregate_stats": on_events(stats_bundle),
+    "retain_last": on_events(lambda ev: tl.retain_last(ev, 1000).select("idx")),
     "parse_stream": parse_stream,
     "windowed_signals": on_events(windowed_signals),
     "score_stream": score_stream,

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.labels import search_key, status_class
@@ -36,13 +36,15 @@ class LogQuery:
         if self.status_classes:
             parts.append(status_class().isin(list(self.status_classes)))
         # A record without latency is never excluded by a latency bound.
-        if self.min_latency is not None and self.min_latency > 0:
-            parts.append(F.col("latency").isNull() | (F.col("latency") >= self.min_latency))
         if self.max_latency is not None and self.max_latency != float("inf"):
             parts.append(F.col("latency").isNull() | (F.col("latency") <= self.max_latency))
         if self.text:
             needle = self.text.lower()
             parts.append(search_key().contains(needle) | F.lower("full_request").contains(needle))
+        # The lower bound is 0 unless given, and holds as soon as anything at all is asked for.
+        least = max(self.min_latency or 0.0, 0.0)
+        if parts or least > 0:
+            parts.append(F.col("latency").isNull() | (F.col("latency") >= least))
         return reduce(and_, parts) if parts else None
 
 
@@ -78,13 +80,15 @@ def search(events: DataFrame, pattern: str = "", severity: str = "ALL") -> DataF
         events = events.filter(F.col("severity") == severity)
     if not pattern:
         return events
+    # Whether it is valid is asked of the engine that will run it.
+    expression = f"(?iu){pattern}"
     try:
-        re.compile(pattern)
-    except re.error:
+        events.sparkSession.range(1).select(F.rlike(F.lit(""), F.lit(expression))).first()
+    except PySparkException:
         return events.filter(F.lower("raw_line").contains(pattern.lower()))
     if not pattern.strip():
         return events.filter(F.lower("raw_line").contains(pattern))
-    return events.filter(F.col("raw_line").rlike(f"(?i){pattern}"))
+    return events.filter(F.col("raw_line").rlike(expression))
 
 
 def available_methods(events: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import endpoint_label, status_class
 from ..functions.paths import short_path
@@ -118,7 +118,7 @@ def golden_signals(events: DataFrame) -> DataFrame:
 
 
 def latency_histogram(events: DataFrame) -> DataFrame:
-    """Twenty bins up to 1.5 · p95, empty ones included; values outside are left out.
+    """Twenty bins up to 1.5 · p95, empty ones included; values outside are left out. No bins for an empty view.
 
     The p95 is one number and is fetched first: as a literal it keeps the plan
     of the counting pass small and its bound is pushed into the scan.
@@ -128,7 +128,8 @@ def latency_histogram(events: DataFrame) -> DataFrame:
     width = reach / HISTOGRAM_BINS or 1.0
     binned = events.filter(F.col("latency") <= reach).select(F.floor(F.col("latency") / width).alias("bin"))
     counted = binned.filter(F.col("bin").between(0, HISTOGRAM_BINS - 1)).groupBy("bin").agg(F.count("*").alias("count"))
-    bins = events.sparkSession.range(HISTOGRAM_BINS).withColumnRenamed("id", "bin")
+    some = HISTOGRAM_BINS if p95 or not events.isEmpty() else 0
+    bins = events.sparkSession.range(some).withColumnRenamed("id", "bin")
 
     def edge(i: Column) -> Column:
         return F.round(i * width, 0).cast("bigint").cast("string")
@@ -145,7 +146,7 @@ def latency_histogram(events: DataFrame) -> DataFrame:
 
 
 def traffic_heatmap(events: DataFrame, tz: str = "UTC") -> DataFrame:
-    """Count and error fraction per hour of day in `tz`, all 24 hours."""
+    """Count and error fraction per hour of day in `tz`, all 24 hours; none for an empty view."""
     zone = F.current_timezone()
     local = F.convert_timezone(zone, F.lit(tz), F.col("timestamp").cast("timestamp_ntz"))
     per_hour = events.groupBy(F.hour(local).alias("hour")).agg(
@@ -155,6 +156,8 @@ def traffic_heatmap(events: DataFrame, tz: str = "UTC") -> DataFrame:
     # At most 24 groups.
     return (
         hours.join(F.broadcast(per_hour), "hour", "left")
+        .withColumn("all", F.sum("count").over(Window.partitionBy()))
+        .filter("all > 0")
         .select("hour", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("error_rate", F.lit(0.0)).alias("error_rate"))
         .orderBy("hour")
     )

@@ -39,10 +39,10 @@ from ..session import materialize
 # Fixed value: templates in the report.
 REPORTED = 20
 # Messages per group replayed in order in the first round. Later rounds double
-# it, up to the rank limit that Spark applies within each partition before the
-# shuffle; beyond that a whole group would travel to one task.
+# it up to the last; Spark applies rank limits up to 1,000 within each partition
+# before the shuffle, and the result does not depend on whether it does.
 FIRST_BLOCK = 250
-RANK_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+LAST_BLOCK = 1000
 
 _CHANGES = "key string, cluster int, since_idx bigint, since_source string, tokens array<string>, full boolean"
 
@@ -155,8 +155,7 @@ def learn_templates(events: DataFrame, threshold: float = SIMILARITY, first_bloc
     weights = materialize(messages.groupBy("key").agg(F.count("*").alias("n")), "groups")
     log: DataFrame | None = None
     open_groups: DataFrame | None = None
-    limit = int(events.sparkSession.conf.get(RANK_LIMIT, "1000"))
-    block = min(first_block, limit)
+    block = max(1, min(first_block, LAST_BLOCK))
     while True:
         by_arrival = Window.partitionBy("key").orderBy("at")
         if log is None:
@@ -199,7 +198,7 @@ def learn_templates(events: DataFrame, threshold: float = SIMILARITY, first_bloc
             open_groups = materialize(still_open.filter(F.col("open_from").isNotNull()), "open")
         if open_groups.isEmpty():
             return log
-        block = min(block * 2, limit)
+        block = min(block * 2, LAST_BLOCK)
 
 
 def cluster_assignments(events: DataFrame, log: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

@@ -26,7 +26,9 @@ _registered: list[ParserSpec] = []
 
 
 def register_parser(spec: ParserSpec) -> Callable[[], None]:
-    """Add a format, considered before the built-in ones. Returns its removal."""
+    """Add a format under an id of its own, considered before the built-in ones. Returns its removal."""
+    if spec.id in {s.id for s in known_formats()}:
+        raise ValueError(f"a format named {spec.id} is known already")
     _registered.append(spec)
 
     def unregister() -> None:

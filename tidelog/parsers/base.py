@@ -31,6 +31,8 @@ class ParseContext:
     fix_ms: bool = False
     epoch_text: bool = False
     strict_w3c: bool = False
+    # Added to every line's index: where a chunk of a longer source begins.
+    start_index: int = 0
 
     def time(self, text: Column) -> Column:
         return parse_date(text, self.now, self.syslog_year, self.epoch_text)
@@ -152,7 +154,7 @@ def to_events(
     index = F.col("idx") if id_index is None else id_index
     step = df.select(
         *carried,
-        index.cast("bigint").alias("id_index"),
+        (index + ctx.start_index).cast("bigint").alias("id_index"),
         *[c.cast(_TYPES[name]).alias(f"r_{name}") for name, c in fields.items()],
         *extra,
     )
@@ -165,7 +167,7 @@ def to_events(
     base = {
         "id": log_id(F.col("line"), F.col("id_index")),
         "source": F.col("source"),
-        "idx": F.col("idx"),
+        "idx": F.col("idx") + ctx.start_index,
         "raw_line": F.col("line"),
         "timestamp": r("timestamp") if "timestamp" in fields else ctx.time(r("time")),
         "original_timestamp": r("time"),

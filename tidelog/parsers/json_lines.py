@@ -43,12 +43,24 @@ def get_field(variant: Column, keys: tuple[str, ...] | list[str]) -> Column:
 
 # Strict JSON, as the reference reads it.
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-# A null document, or an object followed by something else.
-TRAILING_TEXT = r"^null$|^\{.*[^}]$"
 # Objects that candidates reach into.
 PARENTS = ("jsonPayload", "httpRequest")
 
 
+def is_document(line: Column) -> Column:
+    """Is the line one JSON document, and nothing else?
+
+    As the only element of a list it makes a list of one, and with a zero
+    behind it a list of two; a line that closes the list itself can't do both.
+    The session's settings have no say in it, and a key may come twice.
+    """
+
+    def length(end: str) -> Column:
+        return F.size(F.from_json(F.concat(F.lit("["), line, F.lit(end)), "array<string>", _STRICT))
+
+    return F.coalesce((length("]") == 1) & (length(",0]") == 2), F.lit(False))
+
+
 def _entries(text: Column) -> Column:
     """Entries of a JSON object; values are text, nested objects JSON text."""
     return F.from_json(text, "map<string,string>", _STRICT)
@@ -117,7 +129,7 @@ def parse_json(lines: DataFrame, ctx: ParseContext = ParseContext(), keep_payloa
     line = F.col("line")
     document = F.try_parse_json(line)
     # Null as a whole document has no fields to read.
-    valid = lines.filter(document.isNotNull() & ~trim_space(line).rlike(TRAILING_TEXT))
+    valid = lines.filter(is_document(line) & (trim_space(line) != "null"))
     parents = {parent: _entries(F.try_element_at("top", F.lit(parent))) for parent in PARENTS}
     texts = (
         valid.withColumn("top", _entries(line))
@@ -141,7 +153,7 @@ def _score(line: Column, idx: Column) -> Column:
 
 JSON = ParserSpec(
     id="json",
-    matches=lambda line: F.try_parse_json(line).isNotNull(),
+    matches=is_document,
     fields=lambda line, groups: {},
     score=_score,
     exclusive=True,

@@ -11,6 +11,10 @@ from ..operators.templates import cluster_logs
 from ..session import materialize
 
 
+# What the statistics read; raw lines and metadata stay where they are.
+USED = ("id", "source", "idx", "timestamp", "method", "path", "full_request", "status", "latency", "is_error", "severity", "log_type", "body_bytes")
+
+
 class Stats(dict):
     """Name → DataFrame; a statistic is only planned when it is asked for."""
 
@@ -42,7 +46,7 @@ class Stats(dict):
 def aggregate_stats(events: DataFrame, tz: str = "UTC", saved: bool = False) -> Stats:
     """All statistics of a view. The view is written once and read by each of
     them; pass `saved` for a view that is already a plain read of a table."""
-    return Stats(events if saved else materialize(events, "view"), tz)
+    return Stats(events if saved else materialize(events.select(*USED), "view"), tz)
 
 
 def _fixed(value: Column, digits: int) -> Column:

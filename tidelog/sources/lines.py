@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.ids import log_id
 from ..functions.text import is_blank
 from ..plans.lookup import fits_broadcast
 from ..session import materialize
@@ -29,20 +30,26 @@ def with_line_index(lines: DataFrame) -> DataFrame:
 
     Lines of one block lie next to each other in one partition, so their place
     in the block is a difference of row ids: no sort and no shuffle of lines.
-    Only the per-block counts, one row per block, are summed up per source.
+    The lines are written to the shared folder with their row ids first, and
+    counted and read from there: how files are cut into blocks, and which row
+    ids that gives, may differ from one job to the next.
     """
-    numbered = lines.withColumn("row", F.monotonically_increasing_id())
-    blocks = numbered.groupBy("source", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    block = F.xxhash64("source", "block")
+    numbered = lines.select("source", "line", "block", block.alias("block_id"), F.monotonically_increasing_id().alias("row"))
+    numbered = materialize(numbered, "lines")
+    blocks = numbered.groupBy("source", "block", "block_id").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")
-    # Written once, as the size check and the join would each count the lines.
-    starts = materialize(blocks.select("source", "block", shift.alias("shift")), "blocks")
-    # One row per block (128 MB by default), so 200,000 of them are 25 TB of
-    # text. Beyond that lines meet their block's row in a shuffle; no block is
-    # large, so that is even.
+    starts = materialize(blocks.select("block_id", shift.alias("shift")), "blocks")
+    total = starts.agg(F.count("*").alias("n"), F.count_distinct("block_id").alias("ids")).first()
+    if total["n"] != total["ids"]:
+        raise RuntimeError("two blocks share a hash; read the files in two parts")
+    # Sixteen bytes per block of 128 MB: two million blocks, 256 TB of text, are
+    # broadcast. Beyond that lines meet their block's row in a shuffle; no block
+    # is large, so that is even.
     if fits_broadcast(starts):
         starts = F.broadcast(starts)
-    return numbered.join(starts, ["source", "block"]).select(
+    return numbered.join(starts, "block_id").select(
         "source", (F.col("row") + F.col("shift")).alias("idx"), "line"
     )
 
@@ -52,9 +59,12 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def append(events: DataFrame, chunk: DataFrame) -> DataFrame:
-    """Add a later chunk behind what is there: its `idx` continues the sequence."""
+    """Add a later chunk behind what is there: its `idx` continues the sequence, and its ids follow from that."""
     start = F.coalesce(events.agg(F.max("idx")).scalar() + 1, F.lit(0))
-    return events.unionByName(chunk.withColumn("idx", F.col("idx") + start))
+    moved = chunk.withColumn("idx", F.col("idx") + start)
+    if "id" in chunk.columns:
+        moved = moved.withColumn("id", log_id("raw_line", "idx"))
+    return events.unionByName(moved)
 
 
 def retain_last(events: DataFrame, n: int = 10_000) -> DataFrame:

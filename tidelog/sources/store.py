@@ -24,7 +24,9 @@ EXPORT_COLUMNS = {
 def save_events(events: DataFrame, path: str, by_date: bool = False) -> None:
     """Write a snapshot; `by_date` partitions it so that time filters prune files."""
     if by_date:
-        events.withColumn("date", F.to_date("timestamp")).write.mode("overwrite").partitionBy("date").parquet(path)
+        # Dealt by date, large dates over several tasks, so that a date gets few files.
+        dated = events.withColumn("date", F.to_date("timestamp")).hint("rebalance", "date")
+        dated.write.mode("overwrite").partitionBy("date").parquet(path)
     else:
         events.write.mode("overwrite").parquet(path)
 

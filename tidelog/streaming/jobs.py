@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import is_blank
 from ..operators.anomalies import is_anomaly, score
+from ..operators.parse import parse_cascade
 from ..parsers import known_formats, parse_with
 from ..parsers.base import ParseContext
 from ..plans.bundle import Stats, aggregate_stats
@@ -33,27 +35,39 @@ def stream_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 def _number_lines():
     def run(batches):
-        seen = (None, None, 0)
+        last, count = None, 0
         for pdf in batches:
-            numbers = []
-            for source, block in zip(pdf["source"], pdf["block"]):
-                count = seen[2] if (source, block) == seen[:2] else 0
-                numbers.append(block + count)
-                seen = (source, block, count + 1)
-            yield pdf.assign(idx=numbers)[["source", "idx", "line"]]
+            key = pdf["source"].astype(str) + "\n" + pdf["block"].astype(str)
+            begins = (key != key.shift()).to_numpy()
+            if len(key) and key.iloc[0] == last:
+                begins[0] = False
+            at = np.arange(len(key))
+            start = np.maximum.accumulate(np.where(begins, at, -1))
+            within = np.where(start < 0, at + count, at - start)
+            if len(key):
+                last, count = key.iloc[-1], int(within[-1]) + 1
+            yield pdf.assign(idx=pdf["block"].to_numpy() + within)[["source", "idx", "line"]]
 
     return run
 
 
 def parse_stream(lines: DataFrame, format_id: str, ctx: ParseContext = ParseContext()) -> DataFrame:
-    """Stateless parse in a format fixed at the start (detection needs a sample).
+    """Stateless parse, in the format found at the start (detection needs a sample).
 
-    Formats that need a header from the whole source cannot be streamed.
+    A line that this format refuses goes to the first other one that takes it,
+    in the order of the known formats, and becomes generic if none does. Formats
+    that read whole sources (json) drop what they refuse, as in batches; csv
+    needs its header line, so it cannot be streamed.
     """
-    spec = next(s for s in known_formats() if s.id == format_id)
     if format_id == "csv":
         raise ValueError("csv needs its header line; read it in batches")
-    return parse_with(spec, lines, ctx)
+    specs = known_formats()
+    spec = next(s for s in specs if s.id == format_id)
+    if spec.parse_all is not None:
+        return parse_with(spec, lines, ctx)
+    order = [format_id, *[s.id for s in specs if s.id != format_id]]
+    typed = lines.withColumn("pinned", F.lit(format_id)).withColumn("cascade", F.array(*map(F.lit, order)))
+    return parse_cascade(typed, ctx, specs)
 
 
 def stats_on_append(
