@@ -93,6 +93,21 @@ def test_search(spark):
     assert search(events(spark, [{"raw_line": "ÉCHEC total"}]), "échec.*").count() == 1
 
 
+def test_ranks_of_a_whole_table(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    tight = [1 + i * 1e-12 for i in range(3000)]
+    cases = [tight, [rng.lognormvariate(0, 9) * rng.choice([-1, 1]) for _ in range(3000)], [5.0] * 50, [float("inf"), -1.0, 0.0, -0.0, 2.0], [7.0]]
+    for values in cases:
+        df = spark.createDataFrame([(x,) for x in values] + [(None,), (float("nan"),)], "x double")
+        got = {r["tag"]: r["v"] for r in nearest_rank(df, "x", [0, 1, 50, 90, 99.5, 100]).collect()}
+        want = sorted(values)
+        assert got == {float(p): want[max(1, math.ceil(p / 100 * len(want))) - 1] for p in (0, 1, 50, 90, 99.5, 100)}
+    assert nearest_rank(spark.createDataFrame([], "x double"), "x", [50]).collect() == []
+
+
 def test_lower_bound_holds_as_soon_as_anything_is_asked_for(spark):
     ev = events(spark, [{"id": "n", "latency": -2000.0}, {"id": "z", "latency": 0.0}, {"id": "m", "latency": None}])
     ids = lambda q: sorted(r["id"] for r in query_logs(ev, q).collect())

@@ -80,7 +80,7 @@ def test_export(spark, tmp_path):
     assert text[1] == '2025-01-17T14:32:00.000Z,INFO,GET,/api,200,10.0,"say ""hi"", ok",-,-'
 
 
-CLF = '203.0.113.42 - - [17/Jan/2025:14:32:0{i} +0000] "GET /api/users/{i} HTTP/1.1" {s} 12 "-" "ua" 0.{i}00'
+CLF = '192.0.2.7 - - [03/Aug/2024:05:06:0{i} +0000] "GET /depot/{i} HTTP/1.1" {s} 12 "-" "ua" 0.{i}00'
 
 
 def clf_file(folder, name, rows):
@@ -134,3 +134,33 @@ def test_stream_windows_and_scores(spark, tmp_path):
         availableNow=True
     ).start().awaitTermination()
     assert [r["latency"] for r in spark.read.parquet(out).collect()] == [5000.0]
+
+
+def test_no_line_is_lost_when_files_are_cut_differently(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for part in range(3):
+        (tmp_path / "in" / f"{part}.log").write_text("".join(f"{part} line {i}\n" + "\n" * (i % 7 == 0) for i in range(8000)))
+    sizes = {"spark.sql.files.maxPartitionBytes": ("20000", "33000"), "spark.sql.leafNodeDefaultParallelism": ("2", "7")}
+    try:
+        for name, (first, _) in sizes.items():
+            spark.conf.set(name, first)
+        found = read_lines(spark, str(tmp_path / "in"))
+        for name, (_, then) in sizes.items():
+            spark.conf.set(name, then)
+        got = sorted((r["source"][-5:], r["idx"], r["line"]) for r in found.collect())
+    finally:
+        for name in sizes:
+            spark.conf.unset(name)
+    assert got == [(f"{part}.log", i, f"{part} line {i}") for part in range(3) for i in range(8000)]
+
+
+def test_stream_lines_of_other_formats_fall_through(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    text = [CLF.format(i=1, s=200), "\tat shop.ShelfJob.run(ShelfJob.java:8)", "77:M 03 Aug 2024 05:06:07.008 # memory is nearly used up"]
+    (tmp_path / "in" / "a.log").write_text("\n".join(text) + "\n")
+    parsed = parse_stream(stream_lines(spark, str(tmp_path / "in")), "clf", ParseContext())
+    out = str(tmp_path / "out")
+    parsed.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    assert sorted(r["log_type"] for r in spark.read.parquet(out).collect()) == ["DATABASE", "HTTP", "UNKNOWN"]

@@ -1,14 +1,24 @@
 """Exact order statistics that never gather a group's values in one task.
 
 `percentile` and `percentile_disc` keep every distinct value of a group in one
-aggregation buffer. Here the values are counted first (partial counts before
-the shuffle, hot groups spread over their values), then the wanted rank is
-narrowed twice through histograms of bounded size, and only the few values of
-one narrow bucket are put in order.
+aggregation buffer.
+
+For a whole table, rows go straight into a histogram of bounded size, whose
+partial counts are all that is shuffled; the bucket of a wanted rank is cut
+into slices by another pass over the rows, and so on until a bucket holds one
+value. Each pass cuts a bucket's width by thousands, so a handful suffice for
+any distribution, and no task ever orders values.
+
+For medians per group the values are counted first (partial counts before the
+shuffle, hot groups spread over their values), then the wanted rank is
+narrowed twice through histograms of bounded size, and the values of one
+narrow bucket are put in order.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Buckets per doubling of the value, and slices of one such bucket.
@@ -80,9 +90,44 @@ def values_at_ranks(counts: DataFrame, keys: list[str], ranks, few: bool = False
     return last.filter(F.col("upto") >= F.col("r")).groupBy(*group).agg(F.min("v").alias("v"))
 
 
+def whole_table_ranks(df: DataFrame, value: str, percents: list[float]) -> tuple[int, dict[float, float]]:
+    """(n, value at each percent's nearest rank) of a numeric column; the driver holds histograms only."""
+    v = F.col(value).cast("double")
+    rows = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    counted = [F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    hist = sorted(map(tuple, rows.groupBy(_octave_bucket(F.col("v")).alias("b")).agg(*counted).collect()))
+    n = sum(c for _, c, _, _ in hist)
+    if not n:
+        return 0, {}
+
+    def locate(buckets, rank: int):
+        for _, c, lo, hi in buckets:
+            if rank <= c:
+                return lo, hi, rank
+            rank -= c
+        raise ValueError("rank beyond the last bucket")
+
+    found = {p: locate(hist, max(1, math.ceil(p / 100 * n))) for p in percents}
+    while wide := sorted({(lo, hi) for lo, hi, _ in found.values() if lo < hi}):
+        # Buckets are apart, so a value lies in one of them at most.
+        bucket, piece = F, F
+        for i, (lo, hi) in enumerate(wide):
+            inside = F.col("v").between(lo, hi)
+            bucket = bucket.when(inside, F.lit(i))
+            piece = piece.when(inside, F.floor((F.col("v") - lo) / (hi - lo) * (SLICES - 1)))
+        slices = rows.select("v", bucket.alias("i"), piece.alias("s")).filter("i IS NOT NULL").groupBy("i", "s").agg(*counted)
+        cut: dict[int, list] = {}
+        for i, *rest in sorted(map(tuple, slices.collect())):
+            cut.setdefault(i, []).append(tuple(rest))
+        found = {p: locate(cut[wide.index((lo, hi))], r) if lo < hi else (lo, hi, r) for p, (lo, hi, r) in found.items()}
+    return n, {p: lo for p, (lo, _, _) in found.items()}
+
+
 def nearest_rank(df: DataFrame, value: str, percents: list[float], keys: list[str] | None = None) -> DataFrame:
-    """(keys, tag, n, v) with v = sorted[ceil(p/100 · n) − 1] for each percent."""
-    keys = keys or []
+    """(keys, tag, n, v) with v = sorted[ceil(p/100 · n) − 1] for each percent; no rows without values."""
+    if not keys:
+        n, found = whole_table_ranks(df, value, percents)
+        return df.sparkSession.createDataFrame([(float(p), n, x) for p, x in found.items()], "tag double, n long, v double")
 
     def ranks(n: Column) -> Column:
         return F.array(

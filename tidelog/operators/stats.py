@@ -9,7 +9,7 @@ from ..functions.paths import short_path
 from ..functions.scores import saturation
 from ..functions.times import bucket_label, span_ms
 from ..schema import ARRIVAL
-from .quantiles import nearest_rank
+from .quantiles import whole_table_ranks
 
 # Fixed values of the reports.
 PERCENTS = [50, 90, 95, 99]
@@ -44,10 +44,9 @@ def kpis(events: DataFrame) -> DataFrame:
 
 def latency_percentiles(events: DataFrame) -> DataFrame:
     """One row p50, p90, p95, p99 by nearest rank."""
-    ranks = nearest_rank(events, "latency", PERCENTS)
-    return ranks.agg(
-        *[F.coalesce(F.max(F.when(F.col("tag") == p, F.col("v"))), F.lit(0.0)).alias(f"p{p}") for p in PERCENTS]
-    )
+    _, found = whole_table_ranks(events, "latency", PERCENTS)
+    columns = ", ".join(f"p{p} double" for p in PERCENTS)
+    return events.sparkSession.createDataFrame([tuple(found.get(p, 0.0) for p in PERCENTS)], columns)
 
 
 def approx_latency_percentiles(events: DataFrame, accuracy: int = 10_000) -> DataFrame:
@@ -100,9 +99,12 @@ def requests_over_time(events: DataFrame) -> DataFrame:
     )
 
 
-def golden_signals(events: DataFrame) -> DataFrame:
-    """latency (p95), traffic per second, errors in percent, saturation 0–100."""
-    quantiles = latency_percentiles(events)
+def golden_signals(events: DataFrame, percentiles: DataFrame | None = None) -> DataFrame:
+    """latency (p95), traffic per second, errors in percent, saturation 0–100.
+
+    `percentiles` are those of `latency_percentiles`, if they are there already.
+    """
+    quantiles = (percentiles or latency_percentiles(events)).first()
     base = events.agg(
         F.count("*").alias("n"),
         _error_percent().alias("errors"),
@@ -110,25 +112,25 @@ def golden_signals(events: DataFrame) -> DataFrame:
     ).select(
         "errors",
         F.when(F.col("span") > 0, F.col("n") / (F.col("span") / 1000)).otherwise(F.col("n").cast("double")).alias("traffic"),
-        quantiles.select("p50").scalar().alias("p50"),
-        quantiles.select("p95").scalar().alias("latency"),
+        F.lit(quantiles["p50"]).alias("p50"),
+        F.lit(quantiles["p95"]).alias("latency"),
     )
     load = saturation(F.col("traffic"), F.col("p50"), F.col("latency"), F.col("errors"))
     return base.select("latency", "traffic", "errors", load.alias("saturation"))
 
 
-def latency_histogram(events: DataFrame) -> DataFrame:
+def latency_histogram(events: DataFrame, percentiles: DataFrame | None = None) -> DataFrame:
     """Twenty bins up to 1.5 · p95, empty ones included; values outside are left out. No bins for an empty view.
 
     The p95 is one number and is fetched first: as a literal it keeps the plan
     of the counting pass small and its bound is pushed into the scan.
     """
-    p95 = nearest_rank(events, "latency", [95]).first()
-    reach = p95["v"] * HISTOGRAM_REACH if p95 else 0.0
+    p95 = percentiles.first()["p95"] if percentiles else whole_table_ranks(events, "latency", [95])[1].get(95, 0.0)
+    reach = p95 * HISTOGRAM_REACH
     width = reach / HISTOGRAM_BINS or 1.0
     binned = events.filter(F.col("latency") <= reach).select(F.floor(F.col("latency") / width).alias("bin"))
     counted = binned.filter(F.col("bin").between(0, HISTOGRAM_BINS - 1)).groupBy("bin").agg(F.count("*").alias("count"))
-    some = HISTOGRAM_BINS if p95 or not events.isEmpty() else 0
+    some = 0 if events.isEmpty() else HISTOGRAM_BINS
     bins = events.sparkSession.range(some).withColumnRenamed("id", "bin")
 
     def edge(i: Column) -> Column:

@@ -24,12 +24,12 @@ class Stats(dict):
         self.builders = {
             "kpis": lambda: stats.kpis(events),
             "latency_percentiles": lambda: stats.latency_percentiles(events),
-            "golden_signals": lambda: stats.golden_signals(events),
+            "golden_signals": lambda: stats.golden_signals(events, self["latency_percentiles"]),
             "requests_over_time": lambda: stats.requests_over_time(events),
             "status_distribution": lambda: stats.status_distribution(events),
             "method_distribution": lambda: stats.method_distribution(events),
             "top_endpoints": lambda: stats.top_endpoints(events),
-            "latency_histogram": lambda: stats.latency_histogram(events),
+            "latency_histogram": lambda: stats.latency_histogram(events, self["latency_percentiles"]),
             "traffic_heatmap": lambda: stats.traffic_heatmap(events, tz),
             "clusters": lambda: cluster_logs(events),
             "anomalies": lambda: detect_anomalies(events),
