@@ -85,10 +85,9 @@ def test_hot_anchors(spark, monkeypatch):
     assert run(spark, rows) == by_hand(rows, 20)
 
 
-def test_pieces_shards_and_wide_lists(spark, monkeypatch):
+def test_pieces_and_shards(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 37)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 500)
-    monkeypatch.setattr(suffix_dedup, "fits_broadcast", lambda df: False)
     rows = corpus(3)
     assert run(spark, rows) == by_hand(rows, 20)
 

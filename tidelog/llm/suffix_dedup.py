@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidelog.plans.lookup import fits_broadcast, lookup_join
+from tidelog.plans.lookup import split_join
 from tidelog.session import materialize
 
 from .common import documents, text_chunks
@@ -105,10 +105,9 @@ def same_document(a: str, b: str):
 
 
 def with_lists(docs: DataFrame, rows: DataFrame, columns: list[str], how: str) -> DataFrame:
-    """`docs` with `list`, the `columns` of the rows of each document; text is shuffled only if `rows` can't be broadcast."""
+    """`docs` with `list`, the `columns` of the rows of each document; text is shuffled for it, at every size."""
     lists = rows.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*columns)).alias("list"))
     lists = materialize(lists, "lists")
-    lists = F.broadcast(lists) if fits_broadcast(lists) else lists
     return docs.alias("d").join(lists.alias("l"), same_document("d", "l"), how).select("d.doc_id", "d.key", "d.text", "l.list")
 
 
@@ -180,7 +179,7 @@ def repeated_in_hot(cut: DataFrame, length: int) -> DataFrame:
     strings = cut.mapInArrow(hashes, "doc_id long, key long, multiple boolean, start long, h long, g long")
     twice = strings.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1")
     twice = materialize(twice, "hot-strings")
-    met = lookup_join(strings.filter("NOT multiple"), twice, ["h", "g"], "n")
+    met = split_join(strings.filter("NOT multiple"), twice, ["h", "g"], "n")
     return met.select("doc_id", "key", "start", (F.col("start") + length).alias("end"))
 
 
@@ -188,15 +187,15 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, key, start, end: bytes covered by strings of `length` bytes that start anywhere else too; they overlap."""
     found = materialize(find_regions(docs, length), "regions")
     anchors = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
-    shared = materialize(lookup_join(found, anchors, ["anchor"], "n").drop("n"), "shared-regions")
+    shared = materialize(split_join(found, anchors, ["anchor"], "n").drop("n"), "shared-regions")
     same = ["anchor", "content", "strings"]
     first = F.min(F.struct("doc_id", "key", "start"))
     classes = materialize(shared.groupBy(*same).agg(F.count("*").alias("n"), first.alias("first")), "classes")
-    copies = lookup_join(shared, classes.filter("n > 1").select(*same, "n"), same, "n")
+    copies = split_join(shared, classes.filter("n > 1").select(*same, "n"), same, "n")
     whole = copies.select("doc_id", "key", "start", (F.col("start") + F.col("strings") + (length - 1)).alias("end"))
 
     several = materialize(classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1"), "open-anchors")
-    open_classes = lookup_join(classes, several, ["anchor"], "classes")
+    open_classes = split_join(classes, several, ["anchor"], "classes")
     size = open_classes.agg(F.sum(F.col("strings") + length)).first()[0] or 0
     wanted = open_classes.select(
         "first.*",
@@ -219,8 +218,8 @@ def drop_repeated(docs: DataFrame, length: int = 400) -> DataFrame:
     texts shorter than `length` stay whole; repeated rows count as places of their own; null ids are kept; other
     columns are not read. Strings never run over the end of a text.
 
-    What is shuffled is a row per region (about one in 170 bytes) and the bytes of one region per class that may
-    hold a repeated string. Text itself is shuffled only where the lists of spans are too large to broadcast.
+    What is shuffled is a row per region (about one in 170 bytes), the bytes of one region per class that may hold a
+    repeated string, and the texts, twice, to meet their regions and their spans.
     """
     docs = documents(docs).withColumn("key", F.xxhash64("text"))
     spans = repeated_spans(docs, length)
