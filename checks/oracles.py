@@ -124,6 +124,49 @@ def mixed() -> str:
     return LOG + " UNION ALL ".join(parts)
 
 
+def templates(messages: str) -> str:
+    """The template rule by its definition: each group's messages in order, one step of the recursion each.
+
+    `messages`: idx, full_request, latency, is_error, severity.
+    """
+    agree = "list_transform(list_zip(t, tokens), lambda z: CAST(z[1] = z[2] OR z[1] = '<*>' OR z[2] = '<*>' AS INTEGER))"
+    merged = "list_transform(list_zip(t, tokens), lambda z: CASE WHEN z[1] = z[2] THEN z[1] ELSE '<*>' END)"
+    wild = (
+        r"regexp_matches(tokens[1], '^\d+(\.\d+)?$') OR regexp_matches(tokens[1], '^\d{1,3}(\.\d{1,3}){3}$') OR "
+        r"regexp_matches(tokens[1], '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$')"
+    )
+    return f"""WITH RECURSIVE said AS ({messages}),
+        cut AS (SELECT *, regexp_extract_all(full_request, '[^{SPACES}]+')[1:40] AS tokens FROM said),
+        keyed AS (SELECT *, len(tokens) || '|' || CASE WHEN {wild} THEN '<*>' ELSE tokens[1] END AS key FROM cut WHERE len(tokens) > 0),
+        m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx) AS k FROM keyed),
+        step AS (
+          SELECT DISTINCT key, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[][]) AS state, CAST(0 AS BIGINT) AS cluster FROM m
+          UNION ALL
+          SELECT key, k, CASE WHEN hit = 0 THEN list_append(state, tokens)
+              ELSE state[1:hit - 1] || [list_extract(list_transform(state[hit:hit], lambda t: {merged}), 1)] || state[hit + 1:] END,
+            CASE WHEN hit = 0 THEN len(state) ELSE hit - 1 END
+          FROM (SELECT s.key, m.k, s.state, m.tokens,
+              coalesce(list_position(list_transform(s.state, lambda t: list_sum({agree}) >= 0.5 * len(tokens)), true), 0) AS hit
+            FROM step s JOIN m ON m.key = s.key AND m.k = s.k + 1)
+        ),
+        last AS (SELECT key, arg_max(state, k) AS state FROM step GROUP BY key)
+        SELECT m.key, CAST(s.cluster AS INTEGER) AS cluster,
+          substring(array_to_string(any_value(l.state)[s.cluster + 1], ' '), 1, 150) AS template, count(*) AS count,
+          count(*) FILTER (m.is_error) AS error_count, round(avg(m.latency), 6) AS avg_latency,
+          CASE WHEN bool_or(m.severity = 'CRITICAL') THEN 'CRITICAL'
+            WHEN arg_min(m.severity, m.idx) = 'INFO' AND bool_or(m.severity = 'ERROR') THEN 'ERROR'
+            ELSE arg_min(m.severity, m.idx) END AS severity
+        FROM m JOIN step s ON s.key = m.key AND s.k = m.k JOIN last l ON l.key = m.key GROUP BY m.key, s.cluster"""
+
+
+def mixed_messages() -> str:
+    parts = [
+        f"SELECT idx, full_request, latency, is_error, severity FROM (SELECT {record(**PARSED[kind])}, idx AS turn FROM log) WHERE turn % {len(TEXT_KINDS)} = {place}"
+        for place, kind in enumerate(TEXT_KINDS)
+    ]
+    return LOG + " UNION ALL ".join(parts)
+
+
 def mixed_stream() -> str:
     return f"SELECT * EXCLUDE (idx) FROM ({mixed()})"
 
@@ -261,6 +304,10 @@ ORACLES = {
     "append": LOG + """, m AS (SELECT max(idx) + 1 AS start FROM log WHERE log_type = 'HTTP')
         SELECT log_type, count(*) AS n, min(idx) + CASE WHEN log_type = 'HTTP' THEN 0 ELSE any_value(start) END AS lo,
           max(idx) + CASE WHEN log_type = 'HTTP' THEN 0 ELSE any_value(start) END AS hi FROM log, m GROUP BY log_type""",
+    "conversation_templates": "SELECT key, cluster, template, count, avg_latency FROM ("
+    + templates("SELECT conv_id * 10000 + turn AS idx, text AS full_request, length(text) AS latency, false AS is_error, 'INFO' AS severity FROM conversations")
+    + ")",
+    "mixed_templates": templates(mixed_messages()),
     "append_ids": LOG + ", m AS (SELECT max(idx) + 1 AS start FROM log WHERE log_type = 'HTTP') SELECT idx + start AS idx, "
     + fnv("(idx + start) || ':' || full_request") + " AS id FROM log, m WHERE log_type <> 'HTTP'",
     "clear_events": "SELECT count(*) AS n, false AS loaded FROM events WHERE false",

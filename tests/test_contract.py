@@ -10,4 +10,4 @@ def test_entry_and_registration(spark):
     names = entry_module.queries()
     assert set(QUERIES) <= set(names)
     assert set(entry_module.oracle_sql()) <= set(names)
-    assert set(QUERIES) - set(ORACLES) == {"conversation_templates", "mixed_templates"}
+    assert set(QUERIES) == set(ORACLES)
