@@ -156,6 +156,8 @@ def learn_templates(events: DataFrame, threshold: float = SIMILARITY, first_bloc
     log: DataFrame | None = None
     open_groups: DataFrame | None = None
     block = max(1, min(first_block, LAST_BLOCK))
+    # Messages that may still matter; cut down as groups settle.
+    pool, pool_size = messages, weights.agg(F.sum("n")).first()[0] or 0
     while True:
         by_arrival = Window.partitionBy("key").orderBy("at")
         if log is None:
@@ -164,13 +166,13 @@ def learn_templates(events: DataFrame, threshold: float = SIMILARITY, first_bloc
         else:
             states = _versions(log.join(open_groups, "key").drop("open_from"))
             states = materialize(states.join(open_groups, "key").join(weights, "key"), "states")
-            unsettled = lookup_join(messages, states, ["key"], weight="n").filter(F.col("at") >= F.col("open_from"))
+            unsettled = lookup_join(pool, states, ["key"], weight="n").filter(F.col("at") >= F.col("open_from"))
             hit = _first_agreeing(F.col("versions"), F.col("tokens"), F.col("at"), threshold)
             changing = unsettled.filter(_changes_state(hit, F.col("tokens")))
             chosen = changing.groupBy("key", "tokens").agg(F.min("at").alias("at"))
         chosen = chosen.withColumn("rank", F.row_number().over(by_arrival)).filter(F.col("rank") <= block)
         chosen = chosen.select("key", "at.idx", "at.source", "tokens")
-        known = _latest(log) if log is not None else chosen.limit(0).select("key", F.lit(0).alias("cluster"), "tokens")
+        known = _latest(log.join(open_groups, "key", "left_semi")) if log is not None else chosen.limit(0).select("key", F.lit(0).alias("cluster"), "tokens")
         replayed = chosen.groupBy("key").cogroup(known.groupBy("key")).applyInPandas(_replay(threshold, block), _CHANGES)
         replayed = materialize(replayed.withColumn("since", _at("since_")), "replayed")
         made = replayed.filter(F.col("cluster") >= 0).select("key", "cluster", "since", "tokens")
@@ -184,7 +186,7 @@ def learn_templates(events: DataFrame, threshold: float = SIMILARITY, first_bloc
             tentative = materialize(log.unionByName(made), "log")
             replayed_groups = reach.join(open_groups, "key").join(weights, "key")
             states = materialize(_versions(tentative).join(replayed_groups, "key"), "states")
-            between = lookup_join(messages, states, ["key"], weight="n").filter(
+            between = lookup_join(pool, states, ["key"], weight="n").filter(
                 (F.col("at") >= F.col("open_from")) & (F.col("reach").isNull() | (F.col("at") <= F.col("reach")))
             )
             hit = _first_agreeing(F.col("versions"), F.col("tokens"), F.col("at"), threshold)
@@ -198,6 +200,11 @@ def learn_templates(events: DataFrame, threshold: float = SIMILARITY, first_bloc
             open_groups = materialize(still_open.filter(F.col("open_from").isNotNull()), "open")
         if open_groups.isEmpty():
             return log
+        waiting = open_groups.join(weights, "key")
+        size = waiting.agg(F.sum("n")).first()[0]
+        if 2 * size < pool_size:
+            pool = materialize(lookup_join(pool, materialize(waiting.select("key", "n"), "waiting"), ["key"], "n").drop("n"), "pool")
+            pool_size = size
         block = min(block * 2, LAST_BLOCK)
 
 
