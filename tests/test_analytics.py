@@ -159,3 +159,28 @@ def test_histogram_and_heatmap_edges(spark):
     assert busy == {0: 1.0}
     shown = stats.heatmap_intensity(ev).filter("hour = 23").first()
     assert (shown["intensity"], shown["has_errors"], shown["height"]) == (1.0, True, 100.0)
+
+
+def test_hot_key_without_a_partner_is_split(spark):
+    from pyspark.sql import functions as F
+
+    from tidelog.plans.lookup import split_join
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        big = spark.range(60_000).repartition(6).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+        small = spark.range(0, 60_000, 7).select(F.col("id").alias("key"), F.lit(1).alias("w"))
+        joined = split_join(big, small, ["key"], "w", "left")
+        rows = joined.agg(F.count("*"), F.count("w"), F.count_if(F.col("key") == -1), F.max(F.length("text")))
+        assert tuple(rows.collect()[0]) == (60_000, sum(1 for i in range(0, 60_000, 7) if i % 3), 20_000, 64)
+        assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

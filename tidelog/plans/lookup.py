@@ -47,7 +47,11 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str,
 
 
 def split_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
-    """The path of `lookup_join` beyond the broadcast limit."""
+    """The path of `lookup_join` beyond the broadcast limit.
+
+    How often a key occurs is taken from `weight`. A key that `small` lacks, however often `big` has it, meets
+    nothing in the shuffled part; there adaptive execution splits its partition, as it may on the left of a join.
+    """
     total = small.agg(F.sum(weight)).scalar()
     is_hot = F.col(weight) * HOT_SHARE > total
     hot, cold = small.filter(is_hot), small.filter(~is_hot)
