@@ -96,15 +96,18 @@ def test_stream_parse_and_stats(spark, tmp_path):
     def report(s, epoch):
         seen["kpis"] = tuple(s["kpis"].first())
 
-    def run():
+    def run(**options):
         parsed = parse_stream(stream_lines(spark, str(folder)), "clf", ParseContext())
-        stats_on_append(parsed, str(tmp_path / "table"), str(tmp_path / "cp"), report, availableNow=True).awaitTermination()
+        stats_on_append(parsed, str(tmp_path / "table"), str(tmp_path / "cp"), report, **options, availableNow=True).awaitTermination()
 
     run()
     assert seen["kpis"][0] == 2 and seen["kpis"][3] == pytest.approx(50.0)
     clf_file(folder, "b.log", [(3, 200), (4, 200)])
     run()
     assert seen["kpis"][0] == 4 and seen["kpis"][3] == pytest.approx(25.0)
+    clf_file(folder, "c.log", [(5, 404)])
+    run(retain=3)
+    assert seen["kpis"][0] == 3 and seen["kpis"][3] == pytest.approx(100 / 3)
 
 
 def test_csv_is_not_streamed(spark, tmp_path):

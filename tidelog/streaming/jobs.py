@@ -71,9 +71,15 @@ def parse_stream(lines: DataFrame, format_id: str, ctx: ParseContext = ParseCont
 
 
 def stats_on_append(
-    events: DataFrame, table: str, checkpoint: str, report: Callable[[Stats, int], None], **trigger
+    events: DataFrame,
+    table: str,
+    checkpoint: str,
+    report: Callable[[Stats, int], None],
+    retain: int | None = None,
+    **trigger,
 ) -> StreamingQuery:
-    """Append each micro-batch to a table and report on all of it.
+    """Append each micro-batch to a table and report on all of it, or on the
+    `retain` records that arrived last.
 
     A batch that is run again after a failure replaces its own folder, so no
     record counts twice.
@@ -82,8 +88,10 @@ def stats_on_append(
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
-        everything = spark.read.schema(LOG_EVENTS).option("basePath", table).parquet(f"{table}/epoch=*")
-        report(aggregate_stats(everything.select(*LOG_EVENTS.fieldNames()), saved=True), epoch)
+        everything = spark.read.option("basePath", table).parquet(f"{table}/epoch=*")
+        if retain is not None:
+            everything = everything.orderBy(F.desc("epoch"), F.desc("idx"), F.desc("source")).limit(retain)
+        report(aggregate_stats(everything.select(*LOG_EVENTS.fieldNames()), saved=retain is None), epoch)
 
     return (
         events.writeStream.foreachBatch(on_batch)
