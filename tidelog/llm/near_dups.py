@@ -1,14 +1,14 @@
 """Near-duplicate documents: SuperMinHash, banding, verification on full sets, union-find.
 
-1. Every document becomes a sketch: size and key of its shingle set, a brief signature, and its band keys.
+1. Every document becomes a sketch: size and key of its shingle set, and the band keys of its signature.
    Documents with equal sets are one class from here on; a class is a node.
 2. Classes that share a band key meet in a bucket. Each bucket's smallest class is compared with the others,
    on full sets, and linked classes are united. That is a number of pairs in proportion to the bucket.
 3. In buckets whose classes are then of several components, the pairs across components remain. They are ruled
-   out by size and by brief signatures, in blocks of bounded size; what is left is verified as well.
+   out by size and by a second, longer signature, in blocks of bounded size; what is left is verified as well.
 4. Components of all verified links; the smallest document id of a component names it.
 
-A pair at the threshold shares no band with a probability of two in a million, and is misjudged by its brief
+A pair at the threshold shares no band with a probability of two in a million, and is misjudged by its longer
 signature with one in ten million; no other step can lose a link.
 """
 
@@ -29,7 +29,9 @@ PERCENT = 85
 #: Members of one block of an open bucket.
 BLOCK = 512
 
-SKETCH = "doc_id long, n_shingles long, node long, brief binary, bands array<long>"
+#: Slots of the signatures that rule out pairs; a byte each, only for classes that share a band key with another.
+LONG = 1024
+SKETCH = "doc_id long, n_shingles long, node long, bands array<long>"
 
 
 def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -40,11 +42,10 @@ def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         for batch in text_chunks(batches, limit=1 << 20):
             sets = supermin.shingle_sets(texts(batch), shingle)
             full = [s for s in sets if len(s)]
-            keys, briefs, bands = [], [], []
-            for a, b in supermin.chunked(full):
+            keys, bands = [], []
+            for a, b in supermin.chunked(full, n_bands * n_rows):
                 sigs = supermin.signatures(full[a:b], n_bands * n_rows)
                 keys += [int.from_bytes(supermin.set_key(s)[:8], "little", signed=True) for s in full[a:b]]
-                briefs += [row.tobytes() for row in supermin.brief(sigs)]
                 bands += list(supermin.band_keys(sigs, n_bands))
             at = iter(range(len(full)))
             place = [next(at) if len(s) else None for s in sets]
@@ -53,17 +54,16 @@ def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([None if i is None else keys[i] for i in place], pa.int64()),
-                    pa.array([None if i is None else briefs[i] for i in place], pa.binary()),
                     pa.array([None if i is None else bands[i] for i in place], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "node", "brief", "bands"],
+                ["doc_id", "n_shingles", "node", "bands"],
             )
 
     return docs.mapInArrow(sketch, SKETCH)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """node, elements (packed sorted uint64) of the documents whose ids are in `ids`, one row per node."""
+    """node, elements (packed sorted uint64), brief (long signature) of the documents with these ids, one row per node."""
     ids = F.broadcast(ids) if fits_broadcast(ids) else ids
     wanted = docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi")
 
@@ -71,9 +71,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
         for batch in text_chunks(batches, limit=1 << 20):
             sets = [s for s in supermin.shingle_sets(texts(batch), shingle) if len(s)]
             keys = [int.from_bytes(supermin.set_key(s)[:8], "little", signed=True) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
+            briefs = [row.tobytes() for a, b in supermin.chunked(sets, 2 * LONG) for row in supermin.brief(supermin.signatures(sets[a:b], LONG))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(briefs, pa.binary())],
+                ["node", "elements", "brief"],
+            )
 
-    return wanted.mapInArrow(pack, "node long, elements binary").dropDuplicates(["node"])
+    return wanted.mapInArrow(pack, "node long, elements binary, brief binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -103,14 +107,15 @@ def comparable(n, m, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def across_components(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def across_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components within a bucket that their sizes and brief signatures allow.
 
-    `members`: bucket, node, n, root. Only buckets of several components are looked at. A bucket of more than
+    `members`: bucket, node, n, root. `sets`: node, brief, bands. Only buckets of several components are looked at,
+    and a pair comes from the first of the bands it shares alone. A bucket of more than
     BLOCK members is cut into blocks, and every two blocks meet in a row of their own, so that a row never holds
     more than about two blocks, however large the bucket.
     """
-    least = supermin.least_estimate(percent)
+    least = supermin.least_estimate(percent, LONG)
     open_buckets = (
         members.groupBy("bucket")
         .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
@@ -119,23 +124,24 @@ def across_components(members: DataFrame, classes: DataFrame, percent: int) -> D
     )
     open_buckets = materialize(open_buckets, "open-buckets")
     rows = lookup_join(members.select("bucket", "node", "n", "root"), open_buckets, ["bucket"], "size")
-    rows = rows.join(classes.select("node", "brief"), "node")
+    rows = rows.join(sets.select("node", "brief", "bands"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = (
         rows.groupBy("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .agg(F.collect_list(F.struct("node", "n", "root", "brief", "own")).alias("rows"))
+        .agg(F.collect_list(F.struct("node", "n", "root", "brief", "bands", "own")).alias("rows"))
         .filter("size(rows) > 1")
-        .select("i", "j", "rows")
+        .select("bucket", "i", "j", "rows")
     )
 
     def compare(batches):
         for batch in batches:
-            for i, j, rows in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("rows")):
+            for bucket, i, j, rows in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j")), batch.column("rows")):
                 block = rows.values
                 node, n, root, own = (block.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "root", "own"))
                 sigs = np.frombuffer(b"".join(block.field("brief").to_pylist()), np.uint8).reshape(len(node), -1)
+                bands = block.field("bands").flatten().to_numpy().reshape(len(node), -1)
                 found_a, found_b = [], []
                 for k in range(len(node) - 1):
                     fit = (root[k + 1 :] != root[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k]))
@@ -143,6 +149,8 @@ def across_components(members: DataFrame, classes: DataFrame, percent: int) -> D
                         fit &= own[k + 1 :] != own[k]
                     at = np.flatnonzero(fit) + k + 1
                     at = at[supermin.estimated(sigs[at], sigs[k]) >= least]
+                    shared = bands[k][(bands[at] == bands[k]).argmax(1)] if len(at) else at
+                    at = at[shared == bucket]
                     found_a.append(np.minimum(node[at], node[k]))
                     found_b.append(np.maximum(node[at], node[k]))
                 a, b = np.concatenate(found_a), np.concatenate(found_b)
@@ -169,7 +177,6 @@ def group_near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = PERC
             F.min("doc_id").alias("rep"),
             F.any_value("n_shingles").alias("n"),
             F.count("*").alias("copies"),
-            F.any_value("brief").alias("brief"),
             F.any_value("bands").alias("bands"),
         ),
         "classes",
@@ -180,14 +187,15 @@ def group_near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = PERC
     leaders = materialize(leaders.select("bucket", "size", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n")), "leaders")
     members = materialize(lookup_join(banded, leaders, ["bucket"], "size"), "members")
 
-    sets = materialize(sets_of(docs, members.select("rep").distinct(), shingle), "sets")
+    sets = sets_of(docs, members.select("rep").distinct(), shingle)
+    sets = materialize(sets.join(classes.select("node", "bands"), "node"), "sets")
     near = members.filter((F.col("node") != F.col("leader")) & comparable(F.col("n"), F.col("leader_n"), percent))
     star = materialize(near.select(*ordered_pair(F.col("node"), F.col("leader"))).distinct(), "star-pairs")
     links = materialize(verified(star, sets, percent), "star-links")
     roots = components(links)
 
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = across_components(placed, classes, percent).join(star, ["a", "b"], "left_anti")
+    more = across_components(placed, sets, percent).join(star, ["a", "b"], "left_anti")
     late = materialize(verified(more, sets, percent), "late-links")
     if not late.isEmpty():
         roots = components(links.unionByName(late))

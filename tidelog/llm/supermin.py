@@ -86,11 +86,10 @@ def banding(percent: int) -> tuple[int, int]:
     return max((f for f in fits if f[0] * f[1] <= MOST_SLOTS), key=lambda f: f[1], default=(MOST_SLOTS, 1))
 
 
-def least_estimate(percent: int) -> float:
-    """An estimate from a full signature that no pair at the threshold falls below, but for one in ten million."""
-    bands, rows = banding(percent)
+def least_estimate(percent: int, slots: int) -> float:
+    """An estimate from `slots` slots that no pair at the threshold falls below, but for one in ten million."""
     likely = percent / 100
-    return likely - 5.5 * math.sqrt(likely * (1 - likely) / (bands * rows))
+    return likely - 5.5 * math.sqrt(likely * (1 - likely) / slots)
 
 
 def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
@@ -139,11 +138,11 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def chunked(sets: list[np.ndarray], limit: int = 60_000):
-    """Index ranges of `sets` that hold about `limit` elements each."""
+def chunked(sets: list[np.ndarray], slots: int, limit: int = 10_000_000):
+    """Index ranges of `sets` whose elements times `slots`, the scratch memory of `signatures`, are about `limit`."""
     start, held = 0, 0
     for i, s in enumerate(sets):
-        if i > start and held + len(s) > limit:
+        if i > start and (held + len(s)) * slots > limit:
             yield start, i
             start, held = i, 0
         held += len(s)
