@@ -106,6 +106,21 @@ def search_graph(index: Index, points: np.ndarray, width: int) -> tuple[np.ndarr
         opened = np.concatenate([opened, ~valid], 1)
 
 
+def probes_needed(index: Index, points: np.ndarray, k: int, target: float, asked: int = 256) -> int:
+    """How many lists, nearest first, hold a share `target` of the `k` nearest points of each of some points.
+
+    Judged on the sample alone. Neighbours in all vectors lie nearer than those in a sample, and further lists hold
+    copies of them, so this errs on the side of too many.
+    """
+    queries = points[:: max(1, len(points) // asked)]
+    gaps = distances(queries, points)
+    near = np.argsort(gaps, axis=1, kind="stable")[:, 1 : k + 1]
+    home = nearest(points, index.centroids)
+    place = np.argsort(np.argsort(distances(queries, index.centroids), axis=1, kind="stable"), axis=1)
+    ranks = np.sort(place[np.arange(len(queries))[:, None], home[near]].ravel())
+    return int(ranks[min(len(ranks) - 1, int(target * len(ranks)))]) + 1 if len(ranks) else 1
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -150,7 +165,8 @@ def nearest_neighbours(
     most_lists: int = 4096,
     replicas: int = 6,
     boundary: float = 0.15,
-    probes: int = 64,
+    probes: int = 16,
+    recall: float = 0.95,
     prune: float = 0.6,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest found of each row of `queries`, by Euclidean distance.
@@ -161,8 +177,9 @@ def nearest_neighbours(
     is all that any result can show of them. Ties go to the smaller vec_id. Distances are exact, in double
     precision, on the original vectors.
 
-    Centroids come from at most `sample_rows` vectors; every vector is indexed. The index, at most `most_lists`
-    centroids, is broadcast. Lists longer than a few thousand vectors are spread over several tasks.
+    Centroids come from at most `sample_rows` vectors; every vector is indexed. A query reads at least `probes`
+    lists, and as many as the sample needs for this `recall`, less those beyond `prune`: (1 + prune) times as far as
+    the nearest. The index, at most `most_lists` centroids, is broadcast. Lists longer than a few thousand vectors are spread over several tasks.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -181,7 +198,10 @@ def nearest_neighbours(
     lists = max(1, min(most_lists, n // list_length))
     take = min(sample_rows, (64 << 20) // (8 * dim))
     sample = entries.select("embedding").orderBy(F.xxhash64("key")).limit(take).toArrow()
-    index = spark.sparkContext.broadcast(build_index(matrix(sample.column("embedding").combine_chunks(), dim), min(lists, max(1, sample.num_rows // 4))))
+    points = matrix(sample.column("embedding").combine_chunks(), dim)
+    built = build_index(points, min(lists, max(1, len(points) // 4)))
+    probes = max(probes, probes_needed(built, points, k, recall))
+    index = spark.sparkContext.broadcast(built)
 
     asked = usable(queries).filter(F.size("embedding") == dim).withColumn("key", F.xxhash64("embedding"))
     probing = asked.groupBy("key").agg(F.any_value("embedding").alias("embedding"))
