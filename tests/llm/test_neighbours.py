@@ -74,3 +74,35 @@ def test_recall_without_clusters(spark):
     got, want = run(spark, rows, asked, list_length=40), by_hand(rows, asked)
     found = {(r[0], r[2]) for r in got}
     assert np.mean([(r[0], r[2]) in found for r in want]) >= 0.9
+
+
+def test_small_groups_far_from_the_rest(spark):
+    """Groups of near copies, and single vectors, that have a list of their own and less in it than is asked for."""
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(4000, 8)))]
+    asked = []
+    for g, size in enumerate([1, 2, 3, 5, 8, 1, 3]):
+        far = rng.normal(size=8)
+        far *= 60 / np.linalg.norm(far)
+        asked.append(len(rows))
+        rows += [(len(rows) + j, (far + 0.001 * rng.normal(size=8)).tolist()) for j in range(size)]
+    for probes in (16, 1):
+        got, want = run(spark, rows, asked, list_length=40, probes=probes, recall=0.5 if probes == 1 else 0.95), by_hand(rows, asked)
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        found = {(r[0], r[2]) for r in got}
+        assert np.mean([(r[0], r[2]) in found for r in want]) >= (0.9 if probes == 16 else 0.3)
+
+
+def test_recall_is_judged_with_pruning():
+    """Queries on their centroid: every list but the nearest is beyond any ratio, yet holds neighbours."""
+    rng = np.random.default_rng(7)
+    points = np.repeat(rng.normal(size=(300, 8)), 3, axis=0) + 1e-9 * rng.normal(size=(900, 8))
+    index = neighbours.build_index(points, 220)
+    reach = neighbours.reach_needed(index, points, 10, 0.95, 16, 4, 0.6)
+    dist = neighbours.distances(points, index.centroids)
+    ids = np.argsort(dist, axis=1, kind="stable")
+    read = reach.lists_read(ids, np.take_along_axis(dist, ids, 1))
+    assert read.min() >= 4 and (np.cumsum(reach.sizes[ids], 1)[np.arange(900), read - 1] >= 11).all()
+    near = np.argsort(neighbours.distances(points, points), axis=1, kind="stable")[:, 1:11]
+    place = np.argsort(ids, axis=1)[np.arange(900)[:, None], neighbours.nearest(points, index.centroids)[near]]
+    assert (place < read[:, None]).mean() >= 0.93

@@ -3,13 +3,14 @@
 A bounded sample is clustered into lists of about equal length, and lists that come out long are split. The
 centroids and a neighbour graph over them are small and go to every worker. Every vector is written to the list of
 its nearest centroid and, if it lies near a boundary, to those of other centroids about as near. A query finds its
-nearest centroids through the graph, reads the lists whose distance is within a ratio of the nearest one's, and
-ranks what it finds there by exact distance.
+nearest centroids through the graph, reads the nearest lists until they hold several times what it asks for, and
+those about as far as the last of these, and ranks what it finds there by exact distance. A query that found too
+little is searched again in more lists, in the end in all.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,10 @@ def build_index(points: np.ndarray, lists: int, degree: int = 16) -> Index:
 def search_graph(index: Index, points: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The `width` nearest centroids found for each point, nearest first, and their distances; -1 where fewer."""
     n, lists = len(points), len(index.centroids)
-    width = min(width, lists)
+    if width >= lists:
+        dist = distances(points, index.centroids)
+        ids = np.argsort(dist, axis=1, kind="stable")
+        return ids, np.take_along_axis(dist, ids, 1)
     seen = np.zeros((n, lists), bool)
     seen[:, index.entries] = True
     ids = np.tile(index.entries, (n, 1))
@@ -106,19 +110,49 @@ def search_graph(index: Index, points: np.ndarray, width: int) -> tuple[np.ndarr
         opened = np.concatenate([opened, ~valid], 1)
 
 
-def probes_needed(index: Index, points: np.ndarray, k: int, target: float, asked: int = 256) -> int:
-    """How many lists, nearest first, hold a share `target` of the `k` nearest points of each of some points.
-
-    Judged on the sample alone. Neighbours in all vectors lie nearer than those in a sample, and further lists hold
-    copies of them, so this errs on the side of too many.
+@dataclass(frozen=True)
+class Reach:
+    """Which of the nearest lists a query reads."""
+
+    probes: int  # at most so many
+    floor: int  # at least so many
+    held: int  # and as many as hold so many vectors of the sample
+    ratio: float  # further ones up to 1 + ratio times as far as the last of those
+    sizes: np.ndarray  # vectors of the sample by list
+
+    def lists_read(self, ids: np.ndarray, dist: np.ndarray) -> np.ndarray:
+        """How many of the lists `ids`, nearest first at `dist`, each query reads; -1 stands for none."""
+        ids, dist = ids[:, : self.probes], dist[:, : self.probes]
+        enough = np.cumsum(self.sizes[ids], axis=1) >= self.held
+        last = np.where(enough.any(1), enough.argmax(1), ids.shape[1] - 1)
+        last = np.minimum(np.maximum(last, self.floor - 1), ids.shape[1] - 1)
+        return ((ids >= 0) & (dist <= np.take_along_axis(dist, last[:, None], 1) * (1 + self.ratio))).sum(1)
+
+
+def reach_needed(index: Index, points: np.ndarray, k: int, target: float, probes: int, floor: int, ratio: float, asked: int = 256) -> Reach:
+    """Bounds, from `probes` and `floor` upwards, within which the lists read hold a share `target` of the `k` nearest
+    points of each of some points.
+
+    Judged on the sample alone, pruning included. Neighbours in all vectors lie nearer than those in a sample, and
+    further lists hold copies of them, so this errs on the side of too many.
     """
     queries = points[:: max(1, len(points) // asked)]
     gaps = distances(queries, points)
     near = np.argsort(gaps, axis=1, kind="stable")[:, 1 : k + 1]
     home = nearest(points, index.centroids)
-    place = np.argsort(np.argsort(distances(queries, index.centroids), axis=1, kind="stable"), axis=1)
-    ranks = np.sort(place[np.arange(len(queries))[:, None], home[near]].ravel())
-    return int(ranks[min(len(ranks) - 1, int(target * len(ranks)))]) + 1 if len(ranks) else 1
+    sizes = np.bincount(home, minlength=len(index.centroids))
+    dist = distances(queries, index.centroids)
+    ids = np.argsort(dist, axis=1, kind="stable")
+    place = np.argsort(ids, axis=1, kind="stable")[np.arange(len(queries))[:, None], home[near]]
+    ranks = np.sort(place.ravel())
+    if len(ranks):
+        probes = max(probes, int(ranks[min(len(ranks) - 1, int(target * len(ranks)))]) + 1)
+    dist = np.take_along_axis(dist, ids, 1)
+    while True:
+        reach = Reach(probes, min(floor, probes), 4 * (k + 1), ratio, sizes)
+        if floor >= probes or not len(ranks) or (place < reach.lists_read(ids, dist)[:, None]).mean() >= target:
+            return reach
+        floor *= 2
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -132,8 +166,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter("vec_id IS NOT NULL AND size(embedding) > 0").filter(sound & F.exists("embedding", lambda x: x != 0))
 
 
-def listed(df: DataFrame, index, dim: int, width: int, ratio: float, spread: bool, extra: str) -> DataFrame:
-    """`df` (key, embedding and what `extra` declares) once per list it belongs to, with `list`."""
+def listed(df: DataFrame, index, dim: int, width: int, ratio: float, reach: Reach | None, extra: str) -> DataFrame:
+    """`df` (key, embedding and what `extra` declares) once per list it belongs to, with `list`.
+
+    These are the lists that a query reads within `reach`, or, without it, those that a vector is written to: of
+    the `width` nearest the ones within `ratio`.
+    """
 
     def place(batches):
         ix = index.value
@@ -142,8 +180,10 @@ def listed(df: DataFrame, index, dim: int, width: int, ratio: float, spread: boo
                 part = batch.slice(start, 1024)
                 points = matrix(part.column("embedding"), dim)
                 ids, dist = search_graph(ix, points, width)
-                chosen = (ids >= 0) & (dist <= dist[:, :1] * (1 + ratio))
-                if spread:
+                if reach:
+                    chosen = np.arange(ids.shape[1]) < reach.lists_read(ids, dist)[:, None]
+                else:
+                    chosen = (ids >= 0) & (dist <= dist[:, :1] * (1 + ratio))
                     # A further list must not lie nearer to one already chosen than to the vector.
                     for k in range(1, ids.shape[1]):
                         for m in range(k):
@@ -168,6 +208,7 @@ def nearest_neighbours(
     probes: int = 16,
     recall: float = 0.95,
     prune: float = 0.6,
+    fewest: int = 4,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest found of each row of `queries`, by Euclidean distance.
 
@@ -177,9 +218,12 @@ def nearest_neighbours(
     is all that any result can show of them. Ties go to the smaller vec_id. Distances are exact, in double
     precision, on the original vectors.
 
-    Centroids come from at most `sample_rows` vectors; every vector is indexed. A query reads at least `probes`
-    lists, and as many as the sample needs for this `recall`, less those beyond `prune`: (1 + prune) times as far as
-    the nearest. The index, at most `most_lists` centroids, is broadcast. Lists longer than a few thousand vectors are spread over several tasks.
+    Centroids come from at most `sample_rows` vectors; every vector is indexed. A query reads up to `probes` lists,
+    or as many as the sample needs for this `recall`, less those beyond `prune`: (1 + prune) times as far as the
+    last of the `fewest` nearest, or of as many as hold 4 (k + 1) vectors of the sample if that is more; `fewest`
+    rises until the sample keeps its `recall`. A query that still found fewer than `k` is searched again in eight
+    times as many lists, until it has `k` or has read all, so fewer are returned only if there are fewer
+    candidates. The index, at most `most_lists` centroids, is broadcast. Lists longer than a few thousand vectors are spread over several tasks.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -194,21 +238,20 @@ def nearest_neighbours(
     ranked = base.select("vec_id", "embedding").distinct().withColumn("_n", number).filter(F.col("_n") <= k + 1)
     entries = ranked.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = materialize(entries.select(F.col("ids")[0].alias("key"), "ids", "embedding"), "vectors")
-    n = entries.count()
+    n, held_ids = entries.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     lists = max(1, min(most_lists, n // list_length))
     take = min(sample_rows, (64 << 20) // (8 * dim))
     sample = entries.select("embedding").orderBy(F.xxhash64("key")).limit(take).toArrow()
     points = matrix(sample.column("embedding").combine_chunks(), dim)
     built = build_index(points, min(lists, max(1, len(points) // 4)))
-    probes = max(probes, probes_needed(built, points, k, recall))
+    reach = reach_needed(built, points, k, recall, probes, fewest, prune)
     index = spark.sparkContext.broadcast(built)
 
     asked = usable(queries).filter(F.size("embedding") == dim).withColumn("key", F.xxhash64("embedding"))
     probing = asked.groupBy("key").agg(F.any_value("embedding").alias("embedding"))
     salts = 1 + int(n * replicas / lists) // 8192
     salt = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")
-    posted = listed(entries.select("key", "ids", "embedding"), index, dim, replicas, boundary, True, "key long, ids array<long>").withColumn("salt", salt)
-    probed = listed(probing.select("key", "embedding"), index, dim, probes, prune, False, "key long").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    posted = listed(entries.select("key", "ids", "embedding"), index, dim, replicas, boundary, None, "key long, ids array<long>").withColumn("salt", salt)
 
     def rank(asking: pa.Table, held: pa.Table) -> pa.Table:
         out = {"query": [], "vec_id": [], "score": []}
@@ -225,10 +268,23 @@ def nearest_neighbours(
                     out["score"] += [float(score[i])] * len(ids[i])
         return pa.table({"query": pa.array(out["query"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    found = probed.groupBy("list", "salt").cogroup(posted.groupBy("list", "salt")).applyInArrow(rank, "query long, vec_id long, score double")
-    order = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
-    top = found.distinct().withColumn("_n", order).filter(F.col("_n") <= k + 1)
-    top = top.groupBy(F.col("query").alias("key")).agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
+    def search(probing: DataFrame, reach: Reach) -> DataFrame:
+        probed = listed(probing.select("key", "embedding"), index, dim, reach.probes, reach.ratio, reach, "key long")
+        probed = probed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = probed.groupBy("list", "salt").cogroup(posted.groupBy("list", "salt")).applyInArrow(rank, "query long, vec_id long, score double")
+        order = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+        top = found.distinct().withColumn("_n", order).filter(F.col("_n") <= k + 1)
+        top = top.groupBy(F.col("query").alias("key")).agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
+        return materialize(top, "found")
+
+    top = search(probing, reach)
+    while reach.probes < len(built.centroids):
+        whole = top.filter(F.size("near") >= min(k + 1, held_ids))
+        short = materialize(probing.join(whole, "key", "left_anti"), "short")
+        if short.isEmpty():
+            break
+        reach = replace(reach, probes=8 * reach.probes, floor=8 * reach.probes)
+        top = whole.unionByName(search(short, reach))
     top = materialize(top.join(asked.groupBy("key").agg(F.count("*").alias("asking")), "key"), "nearest")
     mine = lookup_join(asked.select("vec_id", "key"), top, ["key"], "asking").withColumnRenamed("vec_id", "query_id")
     others = F.slice(F.filter("near", lambda s: s["vec_id"] != F.col("query_id")), 1, k)
