@@ -44,6 +44,20 @@ def test_one_word_in_a_very_long_text(spark):
     assert np.allclose(together, alone, atol=1e-6)
 
 
+def test_long_clean_texts_stay(spark):
+    """Neither length nor words never seen in training make a text toxic, and an insult in them is still found."""
+    rows, table, labels = corpus(spark)
+    model = toxicity.train(table, labels)
+    rng = random.Random(9)
+    known = " ".join(t for i, t in rows if i % 4)
+    for size in (200_000, 1_000_000, 5_000_000):
+        fresh = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(size // 7))
+        for text in (fresh, (known + " ") * (size // len(known) + 1), fresh[: size // 2] + " " + known):
+            middle = text.index(" ", len(text) // 2)
+            bad = text[:middle] + " grubface" + text[middle:]
+            assert toxicity.scores([text], model)[0] < 0.5 <= toxicity.scores([bad], model)[0]
+
+
 def test_held_out_labels_and_other_columns_are_never_used(spark):
     rows, table, labels = corpus(spark)
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))

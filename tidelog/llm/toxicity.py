@@ -1,10 +1,12 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-An n-gram counts once per document. Its feature value is the log ratio of its document frequencies among toxic
-and other labelled texts, so that logistic regression, whose penalty is the same for all weights, moves the
-telling n-grams first. Only n-grams that speak for toxicity are features, with weights that are not negative: a
-single insult counts the same however much else a text holds. That a long text holds more of everything is taught
-by mixtures of labelled texts. N-grams are hashed into a table of fixed size; the model is one array of that size.
+A text's score is that of its highest scoring window: every text is read whole, in windows of fixed length that
+overlap by half, so a score doesn't follow from a text's length. An n-gram counts once per window. Its feature value
+is the log ratio of its document frequencies among toxic and other labelled texts, so that logistic regression, whose
+penalty is the same for all weights, moves the telling n-grams first. Only n-grams that speak for toxicity are
+features, with weights that are not negative. A first fit to whole documents says which windows of a document stand
+out; the second one is to these windows. N-grams are hashed into a table of
+fixed size, which holds one n-gram a bucket and the rest of its hash, so that others of the bucket don't count.
 """
 
 from __future__ import annotations
@@ -24,20 +26,27 @@ from .common import documents, text_chunks, texts
 BITS = 20
 ORDERS = (4, 5, 6)
 PAD = b"\0" * max(ORDERS)
+#: Windows begin every STRIDE bytes and hold the n-grams that begin in twice as many.
+STRIDE = 64
+#: Windows of a labelled document that the model is fitted to.
+WINDOWS = 8
 
 
 @dataclass(frozen=True)
 class Toxicity:
     weights: np.ndarray  # by bucket; 0 for buckets that are no features
     bias: float
+    rests: np.ndarray  # by bucket; the bits of the feature's hash that don't name the bucket
 
 
-def buckets(chunk: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(document, bucket) of every n-gram of the texts, one order at a time; only n-grams of letters' case differ not."""
+def joined(chunk: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the padded texts, and where each text ends; letters' case makes no difference."""
     raw = [PAD + t.lower().encode("utf-8", "replace") + PAD for t in chunk]
-    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
-    ends = np.cumsum([len(r) for r in raw])
-    owner = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) for r in raw])
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw])
+
+
+def hashes(flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(whether it lies within one text, hash) of the n-gram that begins at each byte, one order at a time."""
     h = np.zeros(len(flat), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         h = h[: len(flat) - n + 1] * np.uint32(0x01000193) + flat[n - 1 :] + np.uint32(n)
@@ -46,21 +55,56 @@ def buckets(chunk: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             inside = np.ones(len(h), bool)
             for k in range(1, n):
                 inside[np.minimum(ends[:-1] - k, len(h) - 1)] = False
-            yield owner[: len(h)][inside], ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS))[inside]
+            yield inside, h * np.uint32(0x9E3779B1)
 
 
-def features(chunk: list[str], chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, bucket) pairs, of the chosen buckets only if given."""
-    pairs = []
-    for owner, bucket in buckets(chunk):
-        if chosen is not None:
-            at = np.flatnonzero(chosen[bucket])
-            owner, bucket = owner[at], bucket[at]
-        pairs.append(owner.astype(np.int64) << BITS | bucket)
-    found = np.concatenate(pairs)
+def distinct(groups: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (group, value) pairs, sorted; values have up to 32 bits."""
+    found = np.concatenate([g.astype(np.int64) << 32 | v for g, v in zip(groups, values)])
     found.sort()
     found = found[np.append(True, found[1:] != found[:-1])[: len(found)]]
-    return found >> BITS, found & ((1 << BITS) - 1)
+    return found >> 32, found & 0xFFFFFFFF
+
+
+def grams(chunk: list[str], chosen: np.ndarray | None, rests: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Where texts end, and place and hash of every n-gram, of the chosen buckets and with their rests only if given."""
+    flat, ends = joined(chunk)
+    places, values = [], []
+    for inside, h in hashes(flat, ends):
+        if chosen is not None:
+            inside &= chosen[h >> np.uint32(32 - BITS)]
+        at = np.flatnonzero(inside)
+        value = h[at]
+        if rests is not None:
+            same = rests[value >> np.uint32(32 - BITS)] == rest_of(value)
+            at, value = at[same], value[same]
+        places.append(at)
+        values.append(value)
+    return ends, places, values
+
+
+def rest_of(value):
+    return value & ((1 << (32 - BITS)) - 1)
+
+
+def features(chunk: list[str], chosen: np.ndarray | None, rests: np.ndarray | None = None, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, bucket) pairs, or those of (document, hash)."""
+    ends, places, values = grams(chunk, chosen, rests)
+    return distinct([np.searchsorted(ends, p, "right") for p in places], values if whole else [v >> np.uint32(32 - BITS) for v in values])
+
+
+def windows(chunk: list[str], chosen: np.ndarray, rests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first window of each document and after the last one's end, and distinct (window, bucket) pairs."""
+    ends, places, values = grams(chunk, chosen, rests)
+    starts = np.append(0, ends[:-1])
+    first = np.append(0, np.cumsum((ends - starts - 1) // STRIDE + 2))
+    groups = []
+    for p in places:
+        doc = np.searchsorted(ends, p, "right")
+        groups.append(first[doc] + (p - starts[doc]) // STRIDE)
+    # An n-gram belongs to the window that begins in its stretch of STRIDE bytes and to the one before.
+    values = [v >> np.uint32(32 - BITS) for v in values]
+    return first, *distinct([g + k for k in (0, 1) for g in groups], values * 2)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -89,8 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, tasks: int = 8
     """Fit to a sample of at most `most` labelled documents.
 
     `tasks` tasks count one part of the sample each, Spark adds up and picks the buckets whose log ratio is the most
-    standard errors above nothing, at least `least_z` and at most `most_features` of them. Those, and per document
-    the few of them it has, are all that reaches the driver.
+    standard errors above nothing, at least `least_z` and at most `most_features` of them, and then in the same way
+    the one n-gram of each. Those, and per document the few of them it has, in the whole and in the windows that
+    stand out, are all that reaches the driver.
     """
     sample = materialize(labelled_sample(docs, labels, most).repartition(tasks), "toxicity-sample").coalesce(tasks)
 
@@ -104,49 +149,104 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, tasks: int = 8
         found = np.flatnonzero(tables.any(0))
         for start in range(0, len(found), 50_000):
             part = found[start : start + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(t[part]) for t in tables)], ["bucket", "other", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(t[part]) for t in tables)], ["gram", "other", "toxic"])
 
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         bias = float(np.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 1.5)))
-        return Toxicity(np.zeros(1 << BITS, np.float32), bias)
-    seen = sample.mapInArrow(count, "bucket int, other int, toxic int").groupBy("bucket")
-    seen = seen.agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).filter("other + toxic >= 5")
-    ratio = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("other") + 0.5) / (n[0] + 1))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
-    telling = seen.select("bucket", ratio.alias("ratio"), (ratio / error).alias("z")).filter(F.col("z") >= least_z)
-    telling = telling.orderBy(F.desc("z"), "bucket").limit(most_features).toArrow()
-    ratio = np.zeros(1 << BITS)
-    ratio[telling.column("bucket").to_numpy()] = telling.column("ratio").to_numpy()
+        return Toxicity(np.zeros(1 << BITS, np.float32), bias, np.zeros(1 << BITS, np.uint16))
+
+    def telling(counter) -> DataFrame:
+        seen = sample.mapInArrow(counter, "gram long, other int, toxic int").groupBy("gram")
+        seen = seen.agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).filter("other + toxic >= 5")
+        ratio = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("other") + 0.5) / (n[0] + 1))
+        error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
+        return seen.select("gram", ratio.alias("ratio"), (ratio / error).alias("z")).filter(F.col("z") >= least_z)
+
+    best = telling(count).orderBy(F.desc("z"), "gram").limit(most_features).toArrow()
+    crowd = np.zeros(1 << BITS, bool)
+    crowd[best.column("gram").to_numpy()] = True
+
+    def count_chosen(batches):
+        for batch in text_chunks(batches, limit=1 << 20):
+            label = batch.column("toxic").to_numpy(zero_copy_only=False)
+            doc, value = features(texts(batch), crowd, whole=True)
+            names, at = np.unique(value, return_inverse=True)
+            sums = [np.bincount(at[label[doc] == k], minlength=len(names)).astype(np.int32) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(names), *map(pa.array, sums)], ["gram", "other", "toxic"])
+
+    # One n-gram of each bucket, that of the largest z.
+    bucket = F.shiftright("gram", 32 - BITS)
+    best = telling(count_chosen).groupBy(bucket.alias("bucket")).agg(F.max(F.struct("z", "gram", "ratio")).alias("m")).select("m.gram", "m.ratio").toArrow()
+    gram = best.column("gram").to_numpy()
+    ratio, rests = np.zeros(1 << BITS), np.zeros(1 << BITS, np.uint16)
+    ratio[gram >> (32 - BITS)] = best.column("ratio").to_numpy()
+    rests[gram >> (32 - BITS)] = rest_of(gram)
     chosen = ratio != 0
 
     def design(batches):
         for batch in text_chunks(batches, limit=1 << 20):
-            doc, bucket = features(texts(batch), chosen)
+            doc, bucket = features(texts(batch), chosen, rests)
             cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bucket, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists], ["toxic", "buckets"])
 
     rows = sample.mapInArrow(design, "toxic int, buckets array<int>").toArrow()
+    weights, _ = fit(*listed(rows), rows.column("toxic").to_numpy(), ratio)
+    del rows
+
+    def standing_out(batches):
+        for batch in text_chunks(batches, limit=1 << 20):
+            first, window, bucket = windows(texts(batch), chosen, rests)
+            z = np.bincount(window, weights[bucket], minlength=first[-1])
+            out = []
+            for i, toxic in enumerate(batch.column("toxic").to_pylist()):
+                own = z[first[i] : first[i + 1]]
+                for w in first[i] + np.argsort(-own, kind="stable")[:WINDOWS]:
+                    a, b = np.searchsorted(window, [w, w + 1])
+                    out.append((toxic, i, bucket[a:b]))
+            # Documents are told apart by the place of their first window.
+            head = np.array([k == 0 or out[k][1] != out[k - 1][1] for k in range(len(out))], bool)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in out], pa.int32()), pa.array(head), pa.array([r[2] for r in out], pa.list_(pa.int32()))],
+                ["toxic", "head", "buckets"],
+            )
+
+    rows = sample.mapInArrow(standing_out, "toxic int, head boolean, buckets array<int>").toArrow()
     label = rows.column("toxic").to_numpy()
-    lists = [c.values.to_numpy() for c in rows.column("buckets")]
-    lists, label = with_mixtures(lists, label)
-    return Toxicity(*fit(np.repeat(np.arange(len(label)), [len(x) for x in lists]), np.concatenate(lists), label, ratio))
-
-
-def with_mixtures(lists: list[np.ndarray], label: np.ndarray, seed: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
-    """The documents and a quarter more: texts of up to 40 clean documents together, some with a toxic one added."""
-    draw = np.random.default_rng(seed)
-    clean, toxic = np.flatnonzero(label == 0), np.flatnonzero(label == 1)
-    more, marks = [], []
-    for k in range(len(lists) // 4):
-        both = np.unique(np.concatenate([lists[i] for i in draw.choice(clean, draw.integers(2, 41))]))
-        more.append(both)
-        marks.append(0)
-        if k % 8 == 0:
-            more.append(np.union1d(both, lists[draw.choice(toxic)]))
-            marks.append(1)
-    return lists + more, np.append(label, marks).astype(np.int64)
+    doc = np.cumsum(rows.column("head").to_numpy()) - 1
+    return Toxicity(*fit_windows(*listed(rows), doc, label, ratio, weights), rests)
+
+
+def listed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row and element of each element of the lists `buckets`."""
+    lists = rows.column("buckets").combine_chunks()
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+
+
+def fit_windows(window: np.ndarray, bucket: np.ndarray, doc: np.ndarray, label: np.ndarray, ratio: np.ndarray, weights: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, float]:
+    """Fit to all windows of clean documents and those of toxic ones that so far score highest or beyond nearly all clean ones."""
+    def highest(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = np.bincount(window, weights[bucket], minlength=len(doc))
+        order = np.lexsort((-z, doc))
+        top = np.zeros(len(doc), bool)
+        top[order[np.append(True, doc[order][1:] != doc[order][:-1])]] = True
+        return z, top
+
+    for _ in range(rounds):
+        z, top = highest(weights)
+        used = top | (label == 0) | (z > np.quantile(z[top & (label == 0)], 0.99))
+        place = np.cumsum(used) - 1
+        at = used[window]
+        weights, _ = fit(place[window[at]], bucket[at], label[used], ratio)
+    # The bias is that of documents, by their highest windows: the likeliest one makes their scores' sum the toxic ones' number.
+    z, top = highest(weights)
+    z, toxic = z[top], np.clip(label[top].sum(), 0.5, top.sum() - 0.5)
+    low, high = -100.0 - z.max(), 100.0
+    for _ in range(60):
+        bias = (low + high) / 2
+        low, high = (low, bias) if (1 / (1 + np.exp(-np.clip(z + bias, -50, 50)))).sum() > toxic else (bias, high)
+    return weights, bias
 
 
 def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, ratio: np.ndarray, penalty: float = 1.0, rounds: int = 100) -> tuple[np.ndarray, float]:
@@ -189,8 +289,9 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, ratio: np.ndarra
 
 
 def scores(chunk: list[str], model: Toxicity) -> np.ndarray:
-    doc, bucket = features(chunk, model.weights != 0)
-    z = np.bincount(doc, model.weights[bucket], minlength=len(chunk)) + model.bias
+    first, window, bucket = windows(chunk, model.weights != 0, model.rests)
+    z = np.bincount(window, model.weights[bucket], minlength=first[-1])
+    z = np.maximum.reduceat(z, first[:-1]) + model.bias
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -208,8 +309,8 @@ def keep_clean(docs: DataFrame, model: Toxicity) -> DataFrame:
 def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
     """The rows and columns of `docs` with a last column `toxicity` (0 to 1, replacing one of that name).
 
-    Only `text` is read; a null or empty text gets the score of a text without n-grams of the model. Rows are
-    independent, nothing is shuffled, a document is read whole.
+    Only `text` is read; the score is that of the highest scoring window of the whole text. A null or empty text gets
+    the score of a text without n-grams of the model. Rows are independent, nothing is shuffled, a document is read whole.
     """
     docs = docs.drop("toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(model)
