@@ -26,6 +26,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{16,}")
 #: Labelled ordinary when training: letters, in parts, with a short number at the end.
 ORDINARY = re.compile("[A-Za-z]+(?:[_-][A-Za-z]+)*[0-9]{0,4}")
+MARKS = "+/_=-"
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -54,9 +55,25 @@ def codes(tokens: list[str]) -> np.ndarray:
     return CODE[np.frombuffer("\n".join(["", *tokens, ""]).encode("ascii"), np.uint8)]
 
 
-def free_tokens(text: str, taken: list[tuple[int, int, int]]) -> list[re.Match]:
-    """Long tokens that no span of `taken` touches."""
-    return [m for m in TOKEN.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in taken)]
+def free_tokens(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of long tokens, and of the long stretches that the spans of `taken`, sorted, leave of those they touch.
+
+    The marks that part a stretch from a span are no part of it.
+    """
+    out = []
+    for m in TOKEN.finditer(text):
+        at = m.start()
+        for a, _, b in taken:
+            if a < m.end() and at < b:
+                end = at + len(text[at:a].rstrip(MARKS))
+                if at > m.start():
+                    at = end - len(text[at:end].lstrip(MARKS))
+                out.append((at, end))
+                at = b
+        if at > m.start():
+            at = m.end() - len(text[at : m.end()].lstrip(MARKS))
+        out.append((at, m.end()))
+    return [(a, b) for a, b in out if b - a >= 16]
 
 
 def pair_counts(tokens: list[str]) -> np.ndarray:
@@ -123,13 +140,13 @@ def train(docs: DataFrame, sample_rows: int, drawn: int) -> np.ndarray:
 
 
 def markov_spans(text: str, base: list[tuple[int, int, int]], ratio: np.ndarray, least: float) -> list[tuple[int, int, int]]:
-    return [(m.start(), 3, m.end()) for m in free_tokens(text, base) if score(m.group(), ratio) >= least]
+    return [(a, 3, b) for a, b in free_tokens(text, base) if score(text[a:b], ratio) >= least]
 
 
 def scan_secrets(docs: DataFrame, sample_rows: int = 20_000, drawn: int = 4000, least: float = 4 * math.log(10)) -> DataFrame:
     """doc_id, text, base, added per row of `docs`; both are arrays of (kind, start, end) in code points.
 
-    `added` are tokens of 16 characters and more, apart from all base spans, that are at least exp(`least`) times
+    `added` are tokens of 16 characters and more, or what base spans leave of them if that is as long, that are at least exp(`least`) times
     as likely under the model of random strings (10,000 times by default). A null text is empty and has no spans;
     repeated rows and null ids are kept as they are. The models are fitted to about `sample_rows` documents.
     """
