@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, near_dups, neighbours, secrets, sentencepiece, suffix_dedup, token_counts, toxicity, url_filter
+from . import chat_format, collocations, decontaminate, embedding_dups, filter_audit, near_dups, neighbours, secrets, sentencepiece, suffix_dedup, token_counts, toxicity, url_filter
 
 PIECES = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -69,6 +69,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_digest(suffix_dedup.drop_repeated(table(spark, sf_dir, "documents")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +94,9 @@ QUERIES = {
         op8_neighbours,
         op9_chat_format,
         op10_suffix_dedup,
+        op11_filter_audit,
+        op12_embedding_dups,
+        op13_collocations,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -91,4 +106,7 @@ ORACLES = {
     "op3_url_filter": url_filter.SQL,
     "op6_minhash": near_dups.SQL,
     "op9_chat_format": chat_format.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_embedding_dups": embedding_dups.SQL,
+    "op13_collocations": collocations.SQL,
 }
