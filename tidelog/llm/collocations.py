@@ -6,13 +6,16 @@ columns, which sums ever shorter beginnings, gives the frequency of every phrase
 its last row the number of words.
 
 Most windows are met once, and none of them matters beyond its frequent beginning. Before, pairs of neighbouring words
-are counted by hash in a table of fixed size. A pair whose slot stays below the least frequency is rarer still, so no
-phrase of interest holds it and a window is padded from there on. The cut is exact whatever the table's size: a slot
-that many pairs share just cuts less.
+are counted by hash in a table of bounded size, then the longer beginnings of windows whose pairs are frequent. What
+falls in a slot that stays below the least frequency is rarer still, so no phrase of interest holds it and a window is
+padded from there on. The cut is exact whatever the tables' size: a slot that much falls in just cuts less. Tables grow
+with the text up to MOST_BITS; far beyond 50 GB of text for a least frequency of 100 they cut ever less, and in the end
+every distinct window is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -27,8 +30,9 @@ from .common import text_chunks
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-#: Slots of the pair table as a power of two, and in how many rows a task hands its table on.
-SLOT_BITS = 24
+#: Slots of a table as a power of two, bytes of text for each slot, and in how many rows a task hands its table on.
+LEAST_BITS, MOST_BITS = 16, 27
+SLOT_TEXT = 48
 SLICES = 256
 #: A slot counts up to here; a higher least frequency is judged by this one, which cuts less.
 FULL = 255
@@ -55,6 +59,16 @@ def _stretches(data: bytes):
         start = end
 
 
+def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    mixed = (left * _SPREAD + right) * _SPREAD
+    return (mixed ^ (mixed >> np.uint64(29))) * _SPREAD
+
+
+def _is_set(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    slot = hashes >> np.uint64(64 - bits)
+    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 class _Tokens:
     """Words of one stretch of text in one language: numbers into `vocabulary`, and which piece each stands in."""
 
@@ -72,25 +86,29 @@ class _Tokens:
         #: Windows that begin here, the rest only being looked into.
         self.n_own = int(np.searchsorted(starts, own))
 
-    def pair_slots(self, lang: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """For every word but the last: is its neighbour in the same piece, and the slot of the pair."""
+    def beginnings(self, lang: str, tables: list[np.ndarray], bits: int):
+        """(j, at, slots) for j from 1: the own words whose windows reach their word j, by what `tables` say, and the
+        slots of those beginnings. The first table is of pairs, the second of longer beginnings."""
         seed = xxhash.xxh3_64_intdigest(lang)
         hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.vocabulary.to_pylist()], np.uint64)[self.codes]
-        mixed = (hashes[:-1] * _SPREAD + hashes[1:]) * _SPREAD
-        return self.piece[:-1] == self.piece[1:], ((mixed ^ (mixed >> np.uint64(29))) * _SPREAD) >> np.uint64(64 - bits)
-
-    def windows(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows of up to five codes, -1 as padding; how often each occurs), cut before a pair that is not `frequent`."""
-        n = self.n_own
-        table = np.full((n, LONGEST), -1, np.int64)
-        table[:, 0] = self.codes[:n]
-        goes_on = np.ones(n, bool)
+        at, chain = np.arange(self.n_own), hashes[: self.n_own]
         for j in range(1, LONGEST):
-            step = np.zeros(n, bool)
-            reach = frequent[j - 1 : j - 1 + n]
-            step[: len(reach)] = reach
-            goes_on &= step
-            at = np.flatnonzero(goes_on)
+            fits = at + j < len(self.codes)
+            at, chain = at[fits], chain[fits]
+            on = self.piece[at + j] == self.piece[at]
+            mixed = _mix(chain, hashes[at + j])
+            if tables:
+                on &= _is_set(tables[0], _mix(hashes[at + j - 1], hashes[at + j]), bits)
+            if j > 1 and len(tables) > 1:
+                on &= _is_set(tables[1], mixed, bits)
+            at, chain = at[on], mixed[on]
+            yield j, at, chain >> np.uint64(64 - bits)
+
+    def windows(self, beginnings) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of up to five codes, -1 as padding; how often each occurs) from what `beginnings` gives."""
+        table = np.full((self.n_own, LONGEST), -1, np.int64)
+        table[:, 0] = self.codes[: self.n_own]
+        for j, at, _ in beginnings:
             table[at, j] = self.codes[at + j]
         single = table[:, 1] < 0
         alone = np.bincount(table[single, 0], minlength=len(self.vocabulary))
@@ -117,15 +135,18 @@ def _tokens(batches):
                     yield lang, _Tokens(data, own)
 
 
-def _count_pairs(bits: int, full: int):
+def _count_slots(tables, bits: int, full: int):
+    """Occurrences by slot: of pairs if there are no tables yet, else of longer beginnings."""
+
     def run(batches):
         held = np.zeros(1 << bits, np.uint8)
         for lang, tokens in _tokens(batches):
-            if len(tokens.codes) < 2:
-                continue
-            same, slots = tokens.pair_slots(lang, bits)
-            slot, times = np.unique(slots[: tokens.n_own][same[: tokens.n_own]], return_counts=True)
-            held[slot] = np.minimum(held[slot] + np.minimum(times, full), full)
+            for j, _, slots in tokens.beginnings(lang, [t.value for t in tables], bits):
+                if (j > 1) == bool(tables):
+                    slot, times = np.unique(slots, return_counts=True)
+                    held[slot] = np.minimum(held[slot] + np.minimum(times, full), full)
+                elif j > 1:
+                    break
         width = len(held) // SLICES
         for i in range(SLICES):
             part = held[i * width : (i + 1) * width]
@@ -150,10 +171,10 @@ def _add_up(full: int):
     return run
 
 
-def frequent_slots(texts: DataFrame, least: int, bits: int = SLOT_BITS) -> np.ndarray:
-    """One bit per slot of the pair table, packed: do the pairs of this slot occur `least` times together?"""
+def frequent_slots(texts: DataFrame, tables: list, least: int, bits: int) -> np.ndarray:
+    """One bit per slot, packed: does what falls in it occur `least` times together?"""
     full, shape = min(least, FULL), "slice int, counts binary"
-    counted = texts.mapInArrow(_count_pairs(bits, full), shape).withColumn("salt", F.spark_partition_id() % 16)
+    counted = texts.mapInArrow(_count_slots(tables, bits, full), shape).withColumn("salt", F.spark_partition_id() % 16)
     some = counted.repartition(F.col("slice"), F.col("salt")).select("slice", "counts").mapInArrow(_add_up(full), shape)
     out = np.zeros(1 << bits, bool)
     width = len(out) // SLICES
@@ -162,14 +183,10 @@ def frequent_slots(texts: DataFrame, least: int, bits: int = SLOT_BITS) -> np.nd
     return np.packbits(out, bitorder="little")
 
 
-def _windows(slots, bits: int):
+def _windows(tables, bits: int):
     def run(batches):
         for lang, tokens in _tokens(batches):
-            frequent = np.zeros(0, bool)
-            if len(tokens.codes) > 1:
-                same, slot = tokens.pair_slots(lang, bits)
-                frequent = same & ((slots.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            rows, times = tokens.windows(frequent)
+            rows, times = tokens.windows(tokens.beginnings(lang, [t.value for t in tables], bits))
             for i in range(0, len(rows), 50_000):
                 part, n = rows[i : i + 50_000], times[i : i + 50_000]
                 words = [tokens.vocabulary.take(pa.array(c, mask=c < 0)).cast(pa.string()) for c in part.T]
@@ -178,15 +195,20 @@ def _windows(slots, bits: int):
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = SLOT_BITS) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int | None = None) -> DataFrame:
     """(lang, k, phrase, f) of every phrase of one to five words met `least` times, and (lang, 0, null, n) with all words.
 
-    Null texts are empty, a null language is `und`.
+    Null texts are empty, a null language is `und`. `bits` sizes the tables, by the bytes of text unless given.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text <> ''")
-    slots = spark.sparkContext.broadcast(frequent_slots(texts, least, bits))
-    windows = texts.mapInArrow(_windows(slots, bits), ", ".join(f"{c} string" for c in ("lang", *_WORDS)) + ", c long")
+    if bits is None:
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(max(round(math.log2(size / SLOT_TEXT + 1)), LEAST_BITS), MOST_BITS)
+    tables: list = []
+    for _ in range(2):
+        tables.append(spark.sparkContext.broadcast(frequent_slots(texts, list(tables), least, bits)))
+    windows = texts.mapInArrow(_windows(tables, bits), ", ".join(f"{c} string" for c in ("lang", *_WORDS)) + ", c long")
     counted = windows.groupBy("lang", *_WORDS).agg(F.sum("c").alias("c"))
     level = F.grouping_id()
     summed = counted.rollup("lang", *_WORDS).agg(F.sum("c").alias("f"), level.alias("rolled"))
@@ -197,7 +219,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = SLOT_BITS) ->
     summed = summed.filter((F.col("k") == 0) | last.isNotNull())
     phrase = F.when(F.col("k") > 0, F.concat_ws(" ", *_WORDS))
     counts = materialize(summed.select("lang", "k", phrase.alias("phrase"), "f"), "phrase-counts")
-    slots.unpersist()
+    for t in tables:
+        t.unpersist()
     return counts
 
 
@@ -240,7 +263,7 @@ def _first(df: DataFrame, by: list[str], top: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
-def mine_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, bits: int = SLOT_BITS) -> DataFrame:
+def mine_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, bits: int | None = None) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the `top` best phrases of each language.
 
     No rows for an empty table or one without a phrase met `least` times. The best of a language are first found
