@@ -86,6 +86,26 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i, _, c in by_hand(rows, 5, 80) if i == c)
 
 
+def test_one_row_of_each_group_stays(spark):
+    same, other, lone = (" ".join(f"{c}{i}" for i in range(30)) for c in "sol")
+    rows = [(None, same), (None, same), (9, other), (9, other), (7, other), (7, lone), (None, None), (None, "")]
+    table = docs(spark, rows)
+    out = near_dups.keep_one(table)
+    assert out.dtypes == table.dtypes
+    kept = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    assert kept == sorted([(None, same), (7, other), (7, lone), (None, None), (None, "")], key=repr)
+    named = docs(spark, [(None, same), (5, same), (None, same)])
+    assert [r["doc_id"] for r in near_dups.keep_one(named).collect()] == [5]
+    assert near_dups.keep_one(docs(spark, [])).collect() == []
+
+
+def test_signature_of_a_long_set_in_blocks(monkeypatch):
+    elements = np.unique(np.random.default_rng(2).integers(0, 2**63, 5000, dtype=np.uint64))
+    whole = supermin.signatures([elements], 128)
+    monkeypatch.setattr(supermin, "BLOCK", 128 * 300)
+    assert (supermin.signatures([elements], 128) == whole).all()
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     bands, rows = supermin.banding(85)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidelog.session import materialize
 
-from .common import text_chunks
+from .common import small, text_chunks
 
 LONGEST = 5
 LEAST = 100
@@ -147,17 +147,15 @@ def _count_slots(tables, bits: int, full: int):
                     held[slot] = np.minimum(held[slot] + np.minimum(times, full), full)
                 elif j > 1:
                     break
-        width = len(held) // SLICES
-        for i in range(SLICES):
-            part = held[i * width : (i + 1) * width]
+        for i, part in enumerate(held.reshape(min(SLICES, len(held) // 8), -1)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
 
     return run
 
 
-def _add_up(full: int):
-    """Sums of the slices that arrive; what is held is the table at most."""
+def _add_up(full: int, packed: bool = False):
+    """Sums of the slices that arrive, or a bit per slot that is full; what is held is the table at most."""
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
@@ -166,6 +164,7 @@ def _add_up(full: int):
                 counts = np.frombuffer(counts, np.uint8)
                 held[i] = np.minimum(held[i].astype(np.int64) + counts, full).astype(np.uint8) if i in held else counts
         for i, counts in held.items():
+            counts = np.packbits(counts >= full, bitorder="little") if packed else counts
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["slice", "counts"])
 
     return run
@@ -176,11 +175,10 @@ def frequent_slots(texts: DataFrame, tables: list, least: int, bits: int) -> np.
     full, shape = min(least, FULL), "slice int, counts binary"
     counted = texts.mapInArrow(_count_slots(tables, bits, full), shape).withColumn("salt", F.spark_partition_id() % 16)
     some = counted.repartition(F.col("slice"), F.col("salt")).select("slice", "counts").mapInArrow(_add_up(full), shape)
-    out = np.zeros(1 << bits, bool)
-    width = len(out) // SLICES
-    for row in some.repartition(F.col("slice")).mapInArrow(_add_up(full), shape).collect():
-        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], np.uint8) >= full
-    return np.packbits(out, bitorder="little")
+    out = np.zeros((1 << bits) // 8, np.uint8).reshape(min(SLICES, (1 << bits) // 8), -1)
+    for row in some.repartition(F.col("slice")).mapInArrow(_add_up(full, packed=True), shape).collect():
+        out[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
+    return out.ravel()
 
 
 def _windows(tables, bits: int):
@@ -237,7 +235,7 @@ def score_candidates(counts: DataFrame) -> DataFrame:
     cuts = cuts.select("lang", "phrase", "a", "cut", _part(words, 1, F.col("cut")).alias("head"), _part(words, F.col("cut") + 1, F.col("k")).alias("rest"))
     cuts = cuts.join(known.select("lang", F.col("part").alias("head"), F.col("f").alias("l")), ["lang", "head"])
     cuts = cuts.join(known.select("lang", F.col("part").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
-    cuts = cuts.join(totals, "lang")
+    cuts = cuts.join(small(totals), "lang")
     wide = {c: F.col(c).cast("decimal(19,0)") for c in "anlr"}
     # A score is below 1000 n, as a is at most l and r, so its quotient fits 64 bits where its products need not.
     score = F.call_function("div", F.lit(1000).cast("decimal(4,0)") * wide["a"] * wide["n"], wide["l"] * wide["r"])

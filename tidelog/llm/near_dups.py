@@ -22,7 +22,7 @@ from tidelog.plans.lookup import fits_broadcast, lookup_join
 from tidelog.session import materialize
 
 from . import supermin
-from .common import documents, text_chunks, texts, without
+from .common import documents, small, text_chunks, texts
 from .components import components
 
 PERCENT = 85
@@ -210,10 +210,23 @@ def group_near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = PERC
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose id names their group of near duplicates; all columns stay."""
-    grouped = group_near_duplicates(docs, shingle, percent)
-    gone = materialize(grouped.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return without(docs, gone, F.col("doc_id").cast("long") == F.col("_gone"))
+    """One row of `docs` per group of near duplicates, that of the smallest id; all columns stay.
+
+    Rows are told apart by a number of their own: of repeated rows one stays, an id that several texts share stands
+    for each of them, and a row without an id stays only if no row of its group has one. Rows without words all stay.
+    """
+    tag = "_row"
+    while tag in docs.columns:
+        tag += "_"
+    tagged = materialize(docs.withColumn(tag, F.monotonically_increasing_id()), "tagged")
+    grouped = group_near_duplicates(tagged.select(F.col(tag).alias("doc_id"), "text"), shingle, percent)
+    grouped = grouped.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root"))
+    ids = tagged.select(F.col(tag).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    members = materialize(grouped.join(ids, "row"), "near-copies")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("first")
+    groups = members.groupBy("root").agg(F.count("*").alias("n"), first).filter("n > 1").select("root", F.col("first.row").alias("stays"))
+    gone = members.join(groups, "root").filter("row <> stays").select(F.col("row").alias(tag))
+    return tagged.join(small(materialize(gone, "gone")), tag, "left_anti").drop(tag)
 
 
 _WORDS = (

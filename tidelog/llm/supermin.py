@@ -10,6 +10,10 @@ import numpy as np
 #: Slots of a signature at most, and the probability of a pair at the threshold to share no band.
 MOST_SLOTS = 170
 MISS = 2e-6
+#: Elements times slots worked on at once; a longer set is taken in blocks.
+BLOCK = 10_000_000
+#: Powers a worker keeps; longer texts compute their own.
+KEPT_POWERS = 1 << 21
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -43,13 +47,16 @@ def word_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
-    if len(_known[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _known[k] = np.cumprod(steps, dtype=np.uint64)
-    return _known[0], _known[1]
+    if n <= len(_known[0]):
+        return _known[0], _known[1]
+    tables = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        steps = np.full(max(n, KEPT_POWERS), base, np.uint64)
+        steps[0] = 1
+        tables.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= KEPT_POWERS:
+        _known[:] = tables
+    return tables[0], tables[1]
 
 
 def shingle_sets(chunk: list[str], k: int) -> list[np.ndarray]:
@@ -99,6 +106,9 @@ def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
     random fraction, and a slot keeps the smallest value of any element. As values of later visits are larger, a
     set is done once all its slots hold less than the next visit's number.
     """
+    if len(sets) == 1 and len(sets[0]) > (step := max(1, BLOCK // slots)):
+        # What an element leaves in a slot depends on no other element.
+        return np.minimum.reduce([signatures([sets[0][i : i + step]], slots) for i in range(0, len(sets[0]), step)])
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(flat), 1))
@@ -138,7 +148,7 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def chunked(sets: list[np.ndarray], slots: int, limit: int = 10_000_000):
+def chunked(sets: list[np.ndarray], slots: int, limit: int = BLOCK):
     """Index ranges of `sets` whose elements times `slots`, the scratch memory of `signatures`, are about `limit`."""
     start, held = 0, 0
     for i, s in enumerate(sets):
