@@ -91,3 +91,35 @@ def test_assign_templates(spark):
     ids = {r["template"]: r["id"] for r in templates.collect()}
     got = [r["cluster_id"] for r in T.assign_templates(ev, templates).orderBy("idx").collect()]
     assert got == [ids["GET <*>"], ids["GET <*>"], ids["say hello there"], None, None]
+
+
+def test_assignment_takes_the_first_of_many_templates(spark):
+    rng = random.Random(3)
+    ev = events(spark, random_rows(rng, 200) + [{"full_request": "x <*> c d"}, {"full_request": "<*> <*> <*>"}])
+    templates = T.materialize(T.cluster_logs(ev, k=1000, first_block=8), "templates")
+    known = sorted(((r["key"], r["cluster"], r["id"], r["tokens"]) for r in templates.collect()))
+    for r in T.assign_templates(ev, templates).collect():
+        tokens = tokens_of(r["full_request"])
+        group = f"{len(tokens)}|{prefix(tokens[0])}"
+        agreeing = [i for key, _, i, t in known if key == group and 2 * sum(x == y or "<*>" in (x, y) for x, y in zip(t, tokens)) >= len(tokens)]
+        assert r["cluster_id"] == (agreeing[0] if agreeing else None)
+
+
+def test_rounds_with_wildcards_in_messages(spark):
+    rng = random.Random(11)
+    rows = random_rows(rng, 150)
+    for r in rows[::7]:
+        r["full_request"] = r["full_request"].replace("b", "<*>").replace("d", "<*>")
+    assert as_tuples(T.cluster_logs(events(spark, rows), k=1000, first_block=3)) == sequential(rows)
+
+
+def test_many_templates_in_one_group(spark):
+    """100,000 messages of one group that share nothing but their first word, and as many like them."""
+    n = 100_000
+    lines = spark.range(2 * n).selectExpr("id AS idx", f"concat('job a', id % {n}, ' b', id % {n}, if(id < {n}, ' c', ' d'), id % {n}) AS full_request", "'s' AS source")
+    log = T.learn_templates(lines, first_block=16_384)
+    assert log.agg({"cluster": "max"}).first()[0] == n - 1 and log.count() == n + 2
+    # Two of the later messages leave the first template nothing but its first word, so it takes the others.
+    row = log.filter("cluster = 0").orderBy("since").collect()
+    assert [(r["since"]["idx"], r["tokens"]) for r in row] == [(0, ["job", "a0", "b0", "c0"]), (n, ["job", "a0", "b0", "<*>"]), (n + 1, ["job", "<*>", "<*>", "<*>"])]
+    assert [r["probes"] is None for r in row] == [False, False, True]

@@ -5,20 +5,30 @@ token count, same first-token class) that agrees in half of its positions, and
 turns the positions that differ into wildcards; otherwise it starts a template.
 
 Run as written this needs one pass over each group in order. What makes it
-parallel is that a template only ever gains wildcards, so almost every message
-changes nothing. Each round
-  1. finds, in parallel, the messages that would change the present templates,
-  2. replays the earliest of them in order, one small task per group,
-  3. checks, in parallel, that no message in between would have changed the
-     templates that held when it arrived; if one would, the group is wound
-     back to that message.
+parallel is that a template only ever gains wildcards: once it agrees with a
+message it always will, once it covers one (merging would change nothing) it
+always will, and almost every message changes nothing. So all that is known
+of a distinct message is one template, its first agreeing one, and whether
+that one covers it. Each round
+  1. picks, per group, the earliest messages that would change a template,
+  2. replays them in order, one small task per group, each with the template
+     that takes it now; no other template can take part,
+  3. looks up, in an inverted index, which distinct messages the new versions
+     agree with, and checks that no message in between would have changed a
+     template when it arrived; if one would, the group is wound back to it.
 Every round settles at least the first open change of each group, and a
 message is judged by the templates as of its own arrival, so the outcome is
 that of the sequential rule.
+
+The index holds (group, position, token) of a version at as many of its rarest
+tokens as it takes for a message that agrees to share at least one. A version
+that agrees with everything by its wildcards alone is looked up by its group.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -38,13 +48,14 @@ from ..session import materialize
 
 # Fixed value: templates in the report.
 REPORTED = 20
-# Messages per group replayed in order in the first round. Later rounds double
-# it up to the last; Spark applies rank limits up to 1,000 within each partition
-# before the shuffle, and the result does not depend on whether it does.
+# Messages per group replayed in order in the first round, and at most. A group
+# that always fills its block has it doubled from round to round.
 FIRST_BLOCK = 250
-LAST_BLOCK = 1000
+LAST_BLOCK = 65_536
+# Parts of a group in which its earliest messages are looked for first.
+PARTS = 64
 
-_CHANGES = "key string, cluster int, since_idx bigint, since_source string, tokens array<string>, full boolean"
+_CHANGES = "key string, cluster int, since_idx bigint, since_source string, tokens array<string>, probes array<int>, full boolean"
 
 
 def _at(prefix: str = "") -> Column:
@@ -52,17 +63,25 @@ def _at(prefix: str = "") -> Column:
 
 
 def grouped_messages(events: DataFrame) -> DataFrame:
-    """(key, at, tokens): blank messages have no tokens and are left out."""
+    """(key, tid, at, tokens): blank messages have no tokens and are left out. Equal tokens have equal `tid`."""
     return (
         events.filter(~is_blank("full_request"))
         .withColumn("tokens", tokenize("full_request"))
         .withColumn("key", group_key("tokens"))
+        .withColumn("tid", F.md5(F.array_join("tokens", " ")))
         .withColumn("at", _at())
     )
 
 
-def _agree(known: Column, message: Column, threshold: float) -> Column:
-    return token_similarity(known, message) >= threshold
+def _distinct_messages(messages: DataFrame) -> DataFrame:
+    """(tid, key, tokens, n, first): one row per distinct message, with its number and first arrival."""
+    rows = messages.groupBy("tid").agg(F.first("key").alias("key"), F.first("tokens").alias("tokens"), F.count("*").alias("n"), F.min("at").alias("first"))
+    return materialize(rows, "distinct-messages")
+
+
+def _needed(width: int, threshold: float) -> int:
+    """Fewest agreeing positions out of `width` that reach the threshold."""
+    return next(n for n in range(width + 2) if n / width >= threshold or n > width)
 
 
 def _covers(known: Column, message: Column) -> Column:
@@ -70,39 +89,41 @@ def _covers(known: Column, message: Column) -> Column:
     return F.forall(F.zip_with(known, message, lambda x, y: (x == y) | (x == WILDCARD)), lambda same: same)
 
 
-def _first_agreeing(versions: Column, tokens: Column, at: Column, threshold: float) -> Column:
-    """The template that takes a message arriving at `at`; null if none does."""
-
-    def takes(v: Column) -> Column:
-        alive = (v["since"] <= at) & (v["until"].isNull() | (at < v["until"]))
-        return alive & _agree(v["tokens"], tokens, threshold)
-
-    return F.get(F.filter(versions, takes), F.lit(0))
-
+def _agreeing(messages: DataFrame, versions: DataFrame, threshold: float) -> DataFrame:
+    """Columns of both for every distinct message (key, tokens) and version (key, known, probes) that agree.
 
-def _changes_state(hit: Column, tokens: Column) -> Column:
-    return hit.isNull() | ~_covers(hit["tokens"], tokens)
-
-
-def _versions(log: DataFrame) -> DataFrame:
-    """(key, versions): every template version of a group with its validity, in template order."""
-    later = Window.partitionBy("key", "cluster").orderBy("since")
-    bounded = log.withColumn("until", F.lead("since").over(later))
-    packed = F.sort_array(F.collect_list(F.struct("cluster", "since", "until", "tokens")))
-    return bounded.groupBy("key").agg(packed.alias("versions"))
-
-
-def _latest(log: DataFrame) -> DataFrame:
-    return log.groupBy("key", "cluster").agg(F.max_by("tokens", "since").alias("tokens"))
+    `probes` are the version's positions in the index; null if it agrees with every message of its group.
+    """
+    versions = versions.withColumnRenamed("key", "v_key")
+    place = versions.filter(F.col("probes").isNotNull()).withColumn("place", F.explode("probes"))
+    index = place.withColumn("token", F.get("known", F.col("place")))
+    wild = F.array_contains("tokens", WILDCARD)
+    words = messages.filter(~wild).select("*", F.posexplode("tokens").alias("at_place", "word"))
+    met = words.join(index, (F.col("key") == F.col("v_key")) & (F.col("at_place") == F.col("place")) & (F.col("word") == F.col("token")))
+    # A pair comes from the first of the places it shares alone.
+    shared = F.filter("probes", lambda p: F.get("tokens", p) == F.get("known", p))
+    met = met.filter(F.array_min(shared) == F.col("place")).drop("place", "token", "at_place", "word")
+    same_group = F.col("key") == F.col("v_key")
+    all_of_group = messages.filter(~wild).join(versions.filter(F.col("probes").isNull()), same_group)
+    # A wildcard in a message's own text agrees with any token.
+    odd = messages.filter(wild).join(versions, same_group)
+    pairs = met.unionByName(all_of_group).unionByName(odd).drop("v_key")
+    return pairs.filter(token_similarity("known", "tokens") >= threshold)
+
+
+def _probes(tokens: list[str], width: int, need: int, count) -> list[int] | None:
+    """Places of the rarest tokens, as many as a message that agrees can't all miss."""
+    solid = [i for i, t in enumerate(tokens) if t != WILDCARD]
+    if width - len(solid) >= need:
+        return None
+    return sorted(solid, key=lambda i: (count[i][tokens[i]], -i))[: width - need + 1]
 
 
 def _replay(threshold: float, block: int):
-    """Sequential rule over at most `block` messages of one group."""
+    """Sequential rule over at most `block` messages of one group and the templates that take them now."""
 
-    def run(messages: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if messages.empty:
-            return pd.DataFrame({c.split()[0]: pd.Series(dtype=object) for c in _CHANGES.split(", ")})
-        key = messages["key"].iloc[0]
+    def run(messages: pd.DataFrame) -> pd.DataFrame:
+        key, start = messages["key"].iloc[0], int(messages["next"].iloc[0])
         codes: dict[str, int] = {WILDCARD: 0}
         words = [WILDCARD]
 
@@ -114,108 +135,180 @@ def _replay(threshold: float, block: int):
             return np.array([codes[t] for t in tokens], dtype=np.int64)
 
         messages = messages.sort_values(["idx", "source"], kind="stable")
-        # An empty side of a cogroup arrives without columns.
-        starts = [] if known.empty else list(known.sort_values("cluster")["tokens"])
         width = len(messages["tokens"].iloc[0])
-        count = len(starts)
-        table = np.zeros((max(64, 2 * count), width), dtype=np.int64)
-        for row, tokens in enumerate(starts):
+        need = _needed(width, threshold)
+        count = [Counter(column) for column in zip(*messages["tokens"])]
+        taking = messages[messages["base"].notna()].drop_duplicates("base").sort_values("base")
+        names = [int(c) for c in taking["base"]]
+        table = np.zeros((max(64, 2 * len(names)), width), dtype=np.int64)
+        # The same index as between the groups' messages and versions, for the rows of `table`.
+        posted: dict[tuple[int, str], list[int]] = {}
+        open_to_all: list[int] = []
+
+        def post(row: int, tokens: list[str]) -> list[int] | None:
+            probes = _probes(tokens, width, need, count)
+            if probes is None:
+                open_to_all.append(row)
+            for p in probes or []:
+                posted.setdefault((p, tokens[p]), []).append(row)
+            return probes
+
+        for row, tokens in enumerate(taking["known"]):
             table[row] = encode(tokens)
+            post(row, list(tokens))
         changes = []
         for idx, source, tokens in zip(messages["idx"], messages["source"], messages["tokens"]):
             message = encode(tokens)
-            agreeing = (table[:count] == message) | (table[:count] == 0) | (message == 0)
-            hits = np.flatnonzero(agreeing.sum(axis=1) / width >= threshold)
+            if 0 in message:
+                rows = np.arange(len(names))
+            else:
+                rows = np.array(sorted({*open_to_all, *(r for at in enumerate(tokens) for r in posted.get(at, ()))}), dtype=np.int64)
+            known = table[rows]
+            hits = np.flatnonzero(((known == message) | (known == 0) | (message == 0)).sum(axis=1) >= need)
             if len(hits):
-                cluster = int(hits[0])
-                merged = np.where(table[cluster] == message, table[cluster], 0)
-                if (merged == table[cluster]).all():
+                row = int(rows[hits[0]])
+                merged = np.where(table[row] == message, table[row], 0)
+                if (merged == table[row]).all():
                     continue
             else:
-                cluster, merged = count, message
-                count += 1
-                if count > len(table):
+                row, merged = len(names), message
+                names.append(start)
+                start += 1
+                if row >= len(table):
                     table = np.vstack([table, np.zeros_like(table)])
-            table[cluster] = merged
-            changes.append((key, cluster, int(idx), source, [words[c] for c in merged], False))
+            table[row] = merged
+            now = [words[c] for c in merged]
+            changes.append((key, names[row], int(idx), source, now, post(row, now), False))
         # A full block may be followed by more; its last message marks how far it reached.
         last = messages.iloc[-1]
-        changes.append((key, -1, int(last["idx"]), last["source"], [], len(messages) >= block))
+        changes.append((key, -1, int(last["idx"]), last["source"], [], None, len(messages) >= block))
         return pd.DataFrame(changes, columns=[c.split()[0] for c in _CHANGES.split(", ")])
 
     return run
 
 
+def _earliest(df: DataFrame, block: int) -> DataFrame:
+    """The `block` rows of each group that arrive first, found within parts of it before."""
+    for by in (["key", "part"], ["key"]):
+        order = Window.partitionBy(*by).orderBy("arrival")
+        df = df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= block)
+    return df.drop("rank")
+
+
 def learn_templates(events: DataFrame, threshold: float = SIMILARITY, first_block: int = FIRST_BLOCK) -> DataFrame:
-    """(key, cluster, since, tokens): every version every template went through.
+    """(key, cluster, since, tokens, probes): every version every template went through.
 
     `since` is the arrival (idx, source) of the message that made the version.
     """
-    messages = materialize(grouped_messages(events).select("key", "at", "tokens"), "messages")
-    weights = materialize(messages.groupBy("key").agg(F.count("*").alias("n")), "groups")
+    messages = materialize(grouped_messages(events).select("tid", "key", "at", "tokens"), "messages")
+    return _learn(messages, _distinct_messages(messages), threshold, first_block)
+
+
+def _learn(messages: DataFrame, distinct: DataFrame, threshold: float, first_block: int) -> DataFrame:
+    # base: the template that takes the message now; settled: it covers it; open_from: null is the beginning.
+    state = distinct.select(
+        "tid", "key", "tokens", "n", "first", F.lit(None).cast("int").alias("base"), F.lit(False).alias("settled"),
+        F.lit(None).cast(messages.schema["at"].dataType).alias("open_from"), F.lit(0).alias("next"),
+    )
+    arrivals = messages.select("tid", "at")
     log: DataFrame | None = None
-    open_groups: DataFrame | None = None
     block = max(1, min(first_block, LAST_BLOCK))
-    # Messages that may still matter; cut down as groups settle.
-    pool, pool_size = messages, weights.agg(F.sum("n")).first()[0] or 0
     while True:
-        by_arrival = Window.partitionBy("key").orderBy("at")
+        changing = state.filter(~F.col("settled"))
         if log is None:
-            # Each partition keeps its own first rows per group before the shuffle.
-            chosen = messages
+            upcoming = changing.withColumn("arrival", F.col("first"))
         else:
-            states = _versions(log.join(open_groups, "key").drop("open_from"))
-            states = materialize(states.join(open_groups, "key").join(weights, "key"), "states")
-            unsettled = lookup_join(pool, states, ["key"], weight="n").filter(F.col("at") >= F.col("open_from"))
-            hit = _first_agreeing(F.col("versions"), F.col("tokens"), F.col("at"), threshold)
-            changing = unsettled.filter(_changes_state(hit, F.col("tokens")))
-            chosen = changing.groupBy("key", "tokens").agg(F.min("at").alias("at"))
-        chosen = chosen.withColumn("rank", F.row_number().over(by_arrival)).filter(F.col("rank") <= block)
-        chosen = chosen.select("key", "at.idx", "at.source", "tokens")
-        known = _latest(log.join(open_groups, "key", "left_semi")) if log is not None else chosen.limit(0).select("key", F.lit(0).alias("cluster"), "tokens")
-        replayed = chosen.groupBy("key").cogroup(known.groupBy("key")).applyInPandas(_replay(threshold, block), _CHANGES)
+            later = arrivals.join(changing.select("tid", "open_from"), "tid").filter(F.col("open_from").isNull() | (F.col("at") >= F.col("open_from")))
+            upcoming = changing.join(later.groupBy("tid").agg(F.min("at").alias("arrival")), "tid")
+        upcoming = upcoming.select("key", "tokens", "base", "next", "arrival", F.pmod(F.xxhash64("tid"), F.lit(PARTS)).alias("part"))
+        chosen = _earliest(upcoming, block).select("key", "arrival.idx", "arrival.source", "tokens", "base", "next")
+        if log is None:
+            chosen = chosen.withColumn("known", F.lit(None).cast("array<string>"))
+        else:
+            latest = log.groupBy("key", F.col("cluster").alias("base")).agg(F.max_by("tokens", "since").alias("known"))
+            chosen = chosen.join(latest, ["key", "base"], "left")
+        replayed = chosen.groupBy("key").applyInPandas(_replay(threshold, block), _CHANGES)
         replayed = materialize(replayed.withColumn("since", _at("since_")), "replayed")
-        made = replayed.filter(F.col("cluster") >= 0).select("key", "cluster", "since", "tokens")
+        made = replayed.filter(F.col("cluster") >= 0).select("key", "cluster", "since", F.col("tokens").alias("known"), "probes")
         reach = replayed.filter(F.col("cluster") < 0).select("key", F.when(F.col("full"), F.col("since")).alias("reach"))
 
-        if log is None:
-            # The first block is a group's unbroken beginning: nothing in between.
-            log = materialize(made, "log")
-            open_groups = materialize(reach.filter(F.col("reach").isNotNull()).withColumnRenamed("reach", "open_from"), "open")
-        else:
-            tentative = materialize(log.unionByName(made), "log")
-            replayed_groups = reach.join(open_groups, "key").join(weights, "key")
-            states = materialize(_versions(tentative).join(replayed_groups, "key"), "states")
-            between = lookup_join(pool, states, ["key"], weight="n").filter(
-                (F.col("at") >= F.col("open_from")) & (F.col("reach").isNull() | (F.col("at") <= F.col("reach")))
-            )
-            hit = _first_agreeing(F.col("versions"), F.col("tokens"), F.col("at"), threshold)
-            missed = between.filter(_changes_state(hit, F.col("tokens")))
-            missed = materialize(missed.groupBy("key").agg(F.min("at").alias("missed")), "missed")
-            valid = tentative.join(missed, "key", "left").filter(
-                F.col("missed").isNull() | (F.col("since") < F.col("missed"))
+        # From when on a template touched in this round agrees with a message, and from when on it covers it.
+        pairs = _agreeing(state.select("tid", "key", "tokens", "base"), made, threshold).filter(F.col("base").isNull() | (F.col("cluster") <= F.col("base")))
+        since = F.col("since")
+        met = pairs.groupBy("tid", "cluster").agg(F.min(since).alias("agrees"), F.min(F.when(_covers(F.col("known"), F.col("tokens")), since)).alias("covers"))
+        entries = met.groupBy("tid").agg(F.collect_list(F.struct("cluster", "agrees", "covers")).alias("entries"))
+        seen = state.join(entries, "tid", "left").join(reach, "key")
+        seen = materialize(seen.withColumn("entries", F.coalesce("entries", F.array())), "seen")
+
+        # Who takes a message that arrives at `at`: the first template that agrees by then.
+        at = F.col("at")
+        taking = F.array_min(
+            F.transform(
+                F.filter("entries", lambda e: e["agrees"] <= at),
+                lambda e: F.struct(e["cluster"], (e["covers"].isNotNull() & (e["covers"] <= at)).alias("covered")),
             )
-            log = materialize(valid.drop("missed"), "log")
-            still_open = reach.join(missed, "key", "left").select("key", F.coalesce("missed", "reach").alias("open_from"))
-            open_groups = materialize(still_open.filter(F.col("open_from").isNotNull()), "open")
-        if open_groups.isEmpty():
+        )
+        base = F.col("base")
+        by_base = base.isNotNull() & (taking.isNull() | (base < taking["cluster"]))
+        covered = F.when(by_base | (base == taking["cluster"]) & F.col("settled"), F.col("settled")).otherwise(F.coalesce(taking["covered"], F.lit(False)))
+        doubtful = seen.filter(~F.col("settled") | F.exists("entries", lambda e: base.isNull() | (e["cluster"] < base)))
+        between = arrivals.join(doubtful.select("tid", "key", "base", "settled", "entries", "open_from", "reach"), "tid")
+        between = between.filter((F.col("open_from").isNull() | (at >= F.col("open_from"))) & (F.col("reach").isNull() | (at <= F.col("reach"))))
+        missed = materialize(between.filter(~covered).groupBy("key").agg(F.min("at").alias("missed")), "missed")
+
+        valid = made.join(missed, "key", "left").filter(F.col("missed").isNull() | (since < F.col("missed")))
+        valid = valid.select("key", "cluster", "since", F.col("known").alias("tokens"), "probes")
+        log = materialize(valid if log is None else log.unionByName(valid), "log")
+        still_open = seen.join(missed, "key", "left").withColumn("open_from", F.coalesce("missed", "reach")).filter(F.col("open_from").isNotNull())
+        counted = log.groupBy("key").agg((F.max("cluster") + 1).alias("next"))
+        kept = F.filter("entries", lambda e: F.col("missed").isNull() | (e["agrees"] < F.col("missed")))
+        least = F.array_min(F.transform(kept, lambda e: F.struct(e["cluster"], (e["covers"].isNotNull() & (F.col("missed").isNull() | (e["covers"] < F.col("missed")))).alias("covered"))))
+        lower = least.isNotNull() & (base.isNull() | (least["cluster"] < base))
+        same = least.isNotNull() & (least["cluster"] == base)
+        state = still_open.drop("next").join(counted, "key").select(
+            "tid", "key", "tokens", "n", "first",
+            F.when(lower, least["cluster"]).otherwise(base).alias("base"),
+            F.when(lower, least["covered"]).when(same, F.col("settled") | least["covered"]).otherwise(F.col("settled")).alias("settled"),
+            "open_from", "next",
+        )
+        state = materialize(state, "state")
+        # Without a message that its template does not cover, nothing can change any more.
+        if state.filter(~F.col("settled")).isEmpty():
             return log
-        waiting = open_groups.join(weights, "key")
-        size = waiting.agg(F.sum("n")).first()[0]
-        if 2 * size < pool_size:
-            pool = materialize(lookup_join(pool, materialize(waiting.select("key", "n"), "waiting"), ["key"], "n").drop("n"), "pool")
-            pool_size = size
         block = min(block * 2, LAST_BLOCK)
 
 
+def _with_probes(versions: DataFrame, threshold: float) -> DataFrame:
+    """Index places for versions (key, cluster, known) that come without: those of the tokens rarest among them."""
+    width = F.size("known")
+    need = F.ceil(F.round(width * F.lit(threshold), 9)).cast("int")
+    each = versions.select("key", "cluster", "known", F.posexplode("known").alias("place", "token")).filter(F.col("token") != WILDCARD)
+    often = each.groupBy("key", "place", "token").agg(F.count("*").alias("often"))
+    ranked = each.join(often, ["key", "place", "token"]).groupBy("key", "cluster").agg(F.sort_array(F.collect_list(F.struct("often", (-F.col("place")).alias("back")))).alias("ranked"))
+    solid = F.size(F.filter("known", lambda t: t != WILDCARD))
+    places = F.transform(F.slice("ranked", 1, width - need + 1), lambda r: -r["back"])
+    return versions.join(ranked, ["key", "cluster"], "left").withColumn("probes", F.when(width - solid < need, places)).drop("ranked")
+
+
 def cluster_assignments(events: DataFrame, log: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Events with (key, cluster): the template each message joined when it arrived."""
     messages = grouped_messages(events)
-    weights = messages.groupBy("key").agg(F.count("*").alias("n"))
-    states = materialize(_versions(log).join(weights, "key"), "states")
-    joined = lookup_join(messages, states, ["key"], weight="n")
-    hit = _first_agreeing(F.col("versions"), F.col("tokens"), F.col("at"), threshold)
-    return joined.withColumn("cluster", hit["cluster"]).drop("versions", "n", "tokens")
+    return _assigned(messages, _distinct_messages(messages), log, threshold).drop("tokens", "tid")
+
+
+def _assigned(messages: DataFrame, distinct: DataFrame, log: DataFrame, threshold: float) -> DataFrame:
+    pairs = _agreeing(distinct.select("tid", "key", "tokens", "n"), log.withColumnRenamed("tokens", "known"), threshold)
+    met = pairs.groupBy("tid", "n", "cluster").agg(F.min("since").alias("since"))
+    # A template takes over from when it agrees if it stands before the one so far.
+    so_far = F.min("cluster").over(Window.partitionBy("tid").orderBy("since").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    took = met.withColumn("so_far", so_far).filter(F.col("cluster") == F.col("so_far"))
+    took = took.withColumn("until", F.lead("since").over(Window.partitionBy("tid").orderBy("since")))
+    steps = F.sort_array(F.collect_list(F.struct("since", "until", "cluster")))
+    takers = materialize(took.groupBy("tid", "n").agg(steps.alias("takers")), "takers")
+    joined = lookup_join(messages, takers, ["tid"], weight="n")
+    at = F.col("at")
+    hit = F.get(F.filter("takers", lambda t: (t["since"] <= at) & (t["until"].isNull() | (at < t["until"]))), F.lit(0))
+    return joined.withColumn("cluster", hit["cluster"]).drop("takers", "n")
 
 
 def cluster_severity() -> Column:
@@ -230,10 +323,13 @@ def cluster_severity() -> Column:
 
 def all_templates(events: DataFrame, threshold: float = SIMILARITY, first_block: int = FIRST_BLOCK) -> DataFrame:
     """Every template with its statistics and its place in the order of discovery."""
-    log = learn_templates(events, threshold, first_block)
+    messages = grouped_messages(events).select("tid", "key", "at", "tokens", "full_request", "is_error", "latency", "severity")
+    messages = materialize(messages, "messages")
+    distinct = _distinct_messages(messages)
+    log = _learn(messages, distinct, threshold, first_block)
     final = log.groupBy("key", "cluster").agg(F.max_by("tokens", "since").alias("tokens"))
     group_seen = log.groupBy("key").agg(F.min("since").alias("group_seen"))
-    statistics = cluster_assignments(events, log, threshold).groupBy("key", "cluster").agg(
+    statistics = _assigned(messages.drop("tokens"), distinct, log, threshold).groupBy("key", "cluster").agg(
         F.min_by("full_request", "at").alias("sample"),
         F.count("*").alias("count"),
         F.count_if("is_error").alias("error_count"),
@@ -262,12 +358,14 @@ def cluster_logs(
 def assign_templates(events: DataFrame, templates: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Events with `cluster_id`: the first of the given finished templates that agrees, or null.
 
-    `templates` must be a table that has been written; all templates of a group
-    travel as one array, so each event meets them without a row per pair.
+    `templates` must be a table that has been written. The first match is found once per distinct message.
     """
-    packed = F.sort_array(F.collect_list(F.struct("cluster", "id", "tokens")))
-    lists = templates.groupBy("key").agg(packed.alias("known"), F.sum("count").alias("n"))
-    messages = events.withColumn("tokens", tokenize("full_request")).withColumn("key", group_key("tokens"))
-    joined = lookup_join(messages, lists, ["key"], weight="n", how="left")
-    agreeing = F.filter("known", lambda t: _agree(t["tokens"], F.col("tokens"), threshold))
-    return joined.withColumn("cluster_id", F.get(agreeing, F.lit(0))["id"]).drop("tokens", "key", "known", "n")
+    taken = [c for c in ("tokens", "key", "tid", "at") if c in events.columns]
+    names = {c: f"_{c}" for c in taken}
+    messages = grouped_messages(events.withColumnsRenamed(names))
+    distinct = _distinct_messages(messages)
+    versions = _with_probes(templates.select("key", "cluster", "id", F.col("tokens").alias("known")), threshold)
+    met = _agreeing(distinct.select("tid", "key", "tokens", "n"), versions.withColumnRenamed("id", "cluster_id"), threshold)
+    first = materialize(met.groupBy("tid", "n").agg(F.min_by("cluster_id", "cluster").alias("cluster_id")), "first-matches")
+    rows = events.withColumn("_tid", F.md5(F.array_join(tokenize("full_request"), " ")))
+    return lookup_join(rows, first.withColumnRenamed("tid", "_tid"), ["_tid"], weight="n", how="left").drop("_tid", "n")
