@@ -273,6 +273,8 @@ ORACLES = {
         SELECT hour, count, round(count / top, 6) AS intensity, error_rate > 0.05 AS has_errors,
           round(greatest(0.2, count / top), 6) AS opacity, round(greatest(5, count / top * 100), 6) AS height FROM h, m""",
     "endpoint_baselines": LOG + BASELINES + "SELECT endpoint, n, round(median, 6) AS median, round(mad, 6) AS mad FROM base",
+    "tight_medians": """SELECT event_type, count(*) AS n, (median(1 + value * 1e-12::DOUBLE) - 1) * 1e12::DOUBLE AS median
+        FROM events WHERE value IS NOT NULL GROUP BY event_type""",
     "anomaly_scores": LOG + BASELINES + "SELECT idx, round(score, 6) AS anomaly_score FROM scored",
     "detect_anomalies": LOG + BASELINES + """SELECT idx, path, status, round(latency, 6) AS latency, round(score, 6) AS anomaly_score
         FROM flagged ORDER BY latency DESC, idx LIMIT 50""",

@@ -8,7 +8,7 @@ from ..functions.labels import endpoint_key
 from ..functions.scores import robust_z
 from ..plans.lookup import lookup_join
 from ..session import materialize
-from .quantiles import count_values, has_few_values, medians
+from .quantiles import medians
 
 # Fixed values of the rule.
 MIN_SAMPLES = 3
@@ -20,20 +20,13 @@ REPORTED = 50
 def endpoint_baselines(events: DataFrame) -> DataFrame:
     """(endpoint, n, median, mad) of the latencies of every endpoint.
 
-    Value counts are written once and serve both medians; the absolute
-    deviation is taken per distinct value, not per record.
+    Endpoint and latency are written once and read by every pass of both
+    medians; the middle of an endpoint meets its rows by a join on the endpoint.
     """
-    keyed = events.select(endpoint_key().alias("endpoint"), "latency")
-    counts = materialize(count_values(keyed, F.col("latency"), ["endpoint"]), "latency-counts")
-    # Deviations are no more numerous than the values they come from.
-    few = has_few_values(counts)
-    centre = materialize(medians(counts, ["endpoint"], few), "medians")
-    deviations = (
-        lookup_join(counts, centre, ["endpoint"], weight="n")
-        .groupBy("endpoint", F.abs(F.col("v") - F.col("median")).alias("v"))
-        .agg(F.sum("c").alias("c"))
-    )
-    spread = medians(deviations, ["endpoint"], few).select("endpoint", F.col("median").alias("mad"))
+    keyed = materialize(events.select(endpoint_key().alias("endpoint"), F.col("latency").cast("double").alias("latency")), "latencies")
+    centre = materialize(medians(keyed, F.col("latency"), ["endpoint"]), "medians")
+    away = F.abs(F.col("latency") - F.col("median"))
+    spread = medians(keyed.join(centre, "endpoint"), away, ["endpoint"]).select("endpoint", F.col("median").alias("mad"))
     return materialize(centre.join(spread, "endpoint"), "baselines")
 
 

@@ -9,10 +9,12 @@ into slices by another pass over the rows, and so on until a bucket holds one
 value. Each pass cuts a bucket's width by thousands, so a handful suffice for
 any distribution, and no task ever orders values.
 
-For medians per group the values are counted first (partial counts before the
-shuffle, hot groups spread over their values), then the wanted rank is
-narrowed twice through histograms of bounded size, and the values of one
-narrow bucket are put in order.
+Per group it is the same, with a table of one row per group and wanted rank in
+place of the driver's list: every pass counts, for all groups at once, the
+slices of the buckets that are still open. Partial counts are all that is
+shuffled, so a group that holds most rows is no task's burden. A bucket is open
+until it holds one value or few enough rows to be put in order, at most as many
+as it would have slices.
 """
 
 from __future__ import annotations
@@ -21,19 +23,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 # Buckets per doubling of the value, and slices of one such bucket.
 PER_OCTAVE = 128
 SLICES = 4096
 # |value| above 2^1024 does not occur in a double, so buckets are bounded.
 MAX_OCTAVES = 1100
-# Distinct values that one task can put in order without strain.
-FEW_VALUES = 1_000_000
-
-
-def count_values(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
-    """(keys, v, c): how often each value occurs; missing values are left out."""
-    rows = df.select(*keys, value.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    return rows.groupBy(*keys, "v").agg(F.count("*").alias("c"))
 
 
 def _octave_bucket(v: Column) -> Column:
@@ -42,58 +38,56 @@ def _octave_bucket(v: Column) -> Column:
     return F.when(v < 0, -depth).otherwise(depth)
 
 
-def _running(keys: list[str], order: str):
-    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def _numbers(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
+    """(keys, v) without missing values."""
+    return df.select(*keys, value.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _locate(hist: DataFrame, keys: list[str], order: str, ranks) -> DataFrame:
-    """Rows of a histogram that hold a wanted rank, with its `tag` and the rank `r` left inside."""
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    placed = hist.withColumn("upto", F.sum("c").over(_running(keys, order))).withColumn("n", F.sum("c").over(whole))
-    before = F.col("upto") - F.col("c")
-    wanted = F.filter(ranks(F.col("n")), lambda x: (x["r"] > before) & (x["r"] <= F.col("upto")))
-    found = placed.withColumn("before", before).withColumn("want", F.explode(wanted))
-    return found.withColumn("tag", F.col("want.tag")).withColumn("r", F.col("want.r") - F.col("before")).drop("want", "upto", "c")
+def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
-def values_at_ranks(counts: DataFrame, keys: list[str], ranks, few: bool = False) -> DataFrame:
+def values_at_ranks(rows: DataFrame, keys: list[str], ranks) -> DataFrame:
     """(keys, tag, n, v): the value at each wanted rank of each group.
 
-    `ranks` maps the Column n (values in the group) to an array of
-    struct(tag, r), r counted from 1. With `few` distinct values in all
-    (checked by the caller) they are put in order directly.
+    `rows` (keys, v) are read once per pass, a handful of times, and have no
+    missing values. `ranks` maps the Column n (values in the group) to an array
+    of struct(tag, r), r counted from 1.
     """
-    if few:
-        return _locate(counts, keys, "v", ranks).select(*keys, "tag", "n", "v")
-    counts = counts.withColumn("b", _octave_bucket(F.col("v")))
-    coarse = counts.groupBy(*keys, "b").agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    targets = _locate(coarse, keys, "b", ranks).select(*keys, "b", "lo", "hi", "n", "tag", "r")
-    if not keys:
-        # One row per wanted rank.
-        targets = F.broadcast(targets)
-    width = F.col("hi") - F.col("lo")
-    piece = F.when(width > 0, F.floor((F.col("v") - F.col("lo")) / width * (SLICES - 1))).otherwise(0)
-    inside = counts.join(targets, [*keys, "b"]).withColumn("s", piece)
-
-    group = [*keys, "tag", "n"]
-    fine = (
-        inside.groupBy(*group, "r", "s")
-        .agg(F.sum("c").alias("c"))
-        .withColumn("upto", F.sum("c").over(_running(group, "s")))
-        .withColumn("before", F.col("upto") - F.col("c"))
-        .filter((F.col("r") > F.col("before")) & (F.col("r") <= F.col("upto")))
-        .select(*group, "s", "before")
-    )
-    if not keys:
-        fine = F.broadcast(fine)
-    last = inside.join(fine, [*group, "s"]).withColumn("upto", F.col("before") + F.sum("c").over(_running(group, "v")))
-    return last.filter(F.col("upto") >= F.col("r")).groupBy(*group).agg(F.min("v").alias("v"))
+    coarse = _counted(rows.withColumn("b", _octave_bucket(F.col("v"))), [*keys, "b"])
+    whole = Window.partitionBy(*keys)
+    upto = F.sum("c").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    placed = coarse.withColumn("upto", upto).withColumn("n", F.sum("c").over(whole)).withColumn("before", F.col("upto") - F.col("c"))
+    wanted = F.filter(ranks(F.col("n")), lambda x: (x["r"] > F.col("before")) & (x["r"] <= F.col("upto")))
+    found = placed.withColumn("want", F.explode(wanted))
+    shape = [*keys, "tag", "n", "r", "c", "lo", "hi"]
+    found = materialize(found.select(*keys, "want.tag", "n", (F.col("want.r") - F.col("before")).alias("r"), "c", "lo", "hi"), "ranks")
+    cell = [*keys, "lo", "hi"]
+
+    def held(cells: DataFrame) -> DataFrame:
+        return rows.join(cells.select(*cell).distinct(), keys).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+
+    large = (F.col("lo") < F.col("hi")) & (F.col("c") > SLICES)
+    while not (still := found.filter(large)).isEmpty():
+        inside = held(still)
+        piece = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (SLICES - 1))
+        renamed = inside.withColumn("s", piece).withColumnsRenamed({"lo": "from", "hi": "to"})
+        slices = _counted(renamed, [*keys, "from", "to", "s"])
+        upto = F.sum("c").over(Window.partitionBy(*keys, "from", "to").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+        slices = slices.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c"))
+        asked = still.select(*keys, "tag", "n", "r", F.col("lo").alias("from"), F.col("hi").alias("to"))
+        met = slices.join(asked, [*keys, "from", "to"]).filter((F.col("r") > F.col("before")) & (F.col("r") <= F.col("upto")))
+        met = met.withColumn("r", F.col("r") - F.col("before")).select(*shape)
+        found = materialize(found.filter(~large).select(*shape).unionByName(met), "ranks")
+    few = found.filter("lo < hi")
+    ordered = held(few).groupBy(*cell).agg(F.sort_array(F.collect_list("v")).alias("values"))
+    picked = few.join(ordered, cell).select(*keys, "tag", "n", F.get("values", (F.col("r") - 1).cast("int")).alias("v"))
+    return found.filter("lo = hi").select(*keys, "tag", "n", F.col("lo").alias("v")).unionByName(picked)
 
 
 def whole_table_ranks(df: DataFrame, value: str, percents: list[float]) -> tuple[int, dict[float, float]]:
     """(n, value at each percent's nearest rank) of a numeric column; the driver holds histograms only."""
-    v = F.col(value).cast("double")
-    rows = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    rows = _numbers(df, F.col(value), [])
     counted = [F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")]
     hist = sorted(map(tuple, rows.groupBy(_octave_bucket(F.col("v")).alias("b")).agg(*counted).collect()))
     n = sum(c for _, c, _, _ in hist)
@@ -137,16 +131,11 @@ def nearest_rank(df: DataFrame, value: str, percents: list[float], keys: list[st
             ]
         )
 
-    return values_at_ranks(count_values(df, F.col(value), keys), keys, ranks)
-
-
-def has_few_values(counts: DataFrame) -> bool:
-    """For counts that have been written: are there few enough to order them directly?"""
-    return counts.limit(FEW_VALUES + 1).count() <= FEW_VALUES
+    return values_at_ranks(_numbers(df, F.col(value), keys), keys, ranks)
 
 
-def medians(counts: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
-    """(keys, n, median) of counted values; the middle pair is averaged."""
+def medians(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
+    """(keys, n, median) of the values in each group; the middle pair is averaged."""
 
     def middle(n: Column) -> Column:
         low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
@@ -154,5 +143,5 @@ def medians(counts: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
             F.struct(F.lit(0.0).alias("tag"), low.alias("r")), F.struct(F.lit(1.0).alias("tag"), high.alias("r"))
         )
 
-    pair = values_at_ranks(counts, keys, middle, few)
+    pair = values_at_ranks(_numbers(df, value, keys), keys, middle)
     return pair.groupBy(*keys).agg(F.max("n").alias("n"), F.avg("v").alias("median"))

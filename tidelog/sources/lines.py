@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.ids import log_id
@@ -10,19 +12,39 @@ from ..plans.lookup import fits_broadcast
 from ..session import materialize
 
 
+# What decides how files are cut into partitions, besides the files themselves.
+CUTTING = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+
+
 def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(source, block, line) of `.log .txt .json .csv .tsv` files, plain or `.gz`.
 
     Plain files are split by block; a gzip file is one block. Lines end at
-    `\\n`, with an optional `\\r` before it.
+    `\\n`, with an optional `\\r` before it. The files are cut as the settings say
+    now, also if those change, or the cluster grows, before a later job reads
+    them: a file scan asks the session that made it, so it is made in one of its own.
     """
-    raw = spark.read.option("lineSep", "\n").text(path)
+    pinned = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if pinned.conf.isModifiable(name):
+            pinned.conf.set(name, value)
+    cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+    pinned.conf.set("spark.sql.files.minPartitionNum", spark.conf.get("spark.sql.files.minPartitionNum", None) or cores)
+    for name in CUTTING:
+        pinned.conf.set(name, spark.conf.get(name))
+    view = f"text_{uuid.uuid4().hex}"
+    raw = pinned.read.option("lineSep", "\n").text(path)
     lines = raw.select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
         F.regexp_replace("value", "\r$", "").alias("line"),
     )
-    return lines.filter(~is_blank("line"))
+    # Only the scan belongs to that session; everything on top of it follows the caller's.
+    lines.createGlobalTempView(view)
+    shared = spark.conf.get("spark.sql.globalTempDatabase", "global_temp")
+    found = spark.read.table(f"{shared}.{view}").filter(~is_blank("line"))
+    pinned.catalog.dropGlobalTempView(view)
+    return found
 
 
 def with_line_index(lines: DataFrame) -> DataFrame:
@@ -30,27 +52,31 @@ def with_line_index(lines: DataFrame) -> DataFrame:
 
     Lines of one block lie next to each other in one partition, so their place
     in the block is a difference of row ids: no sort and no shuffle of lines.
-    The lines are written to the shared folder with their row ids first, and
-    counted and read from there: how files are cut into blocks, and which row
-    ids that gives, may differ from one job to the next.
+    The lines are read twice and never written: one job counts those of each
+    block, and the index is one row per block. That holds as long as the files
+    are cut into the same blocks and those into the same partitions. It is
+    checked for every line: one outside its block's row ids, as when a file
+    was changed or lines that can be cut otherwise were given, stops the job.
     """
     block = F.xxhash64("source", "block")
     numbered = lines.select("source", "line", "block", block.alias("block_id"), F.monotonically_increasing_id().alias("row"))
-    numbered = materialize(numbered, "lines")
     blocks = numbered.groupBy("source", "block", "block_id").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")
-    starts = materialize(blocks.select("block_id", shift.alias("shift")), "blocks")
+    start = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    starts = materialize(blocks.select("block_id", "first", "n", start.alias("start")), "blocks")
     total = starts.agg(F.count("*").alias("n"), F.count_distinct("block_id").alias("ids")).first()
     if total["n"] != total["ids"]:
         raise RuntimeError("two blocks share a hash; read the files in two parts")
-    # Sixteen bytes per block of 128 MB: two million blocks, 256 TB of text, are
+    # About thirty bytes per block of 128 MB: a million blocks, 128 TB of text, are
     # broadcast. Beyond that lines meet their block's row in a shuffle; no block
     # is large, so that is even.
     if fits_broadcast(starts):
         starts = F.broadcast(starts)
-    return numbered.join(starts, "block_id").select(
-        "source", (F.col("row") + F.col("shift")).alias("idx"), "line"
+    within = F.col("row") - F.col("first")
+    known = (within >= 0) & (within < F.col("n"))
+    moved = F.raise_error(F.concat(F.lit("lines are no longer cut as they were counted: "), "source"))
+    return numbered.join(starts, "block_id", "left").select(
+        "source", F.when(known, F.col("start") + within).otherwise(moved.cast("long")).alias("idx"), "line"
     )
 
 
