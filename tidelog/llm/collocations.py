@@ -124,15 +124,14 @@ class _Tokens:
 
 def _tokens(batches):
     """(lang, tokens) of all texts of a chunk in one language at a time."""
-    for batch in batches:
-        for part in text_chunks([batch], limit=STRETCH):
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                if text:
-                    by_lang.setdefault(lang, []).append(text.encode().translate(_BYTES))
-            for lang, texts in by_lang.items():
-                for data, own in _stretches(b"\n".join(texts)):
-                    yield lang, _Tokens(data, own)
+    for part in text_chunks(batches, limit=STRETCH):
+        by_lang: dict[str, list[bytes]] = {}
+        for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+            if text:
+                by_lang.setdefault(lang, []).append(text.encode().translate(_BYTES))
+        for lang, texts in by_lang.items():
+            for data, own in _stretches(b"\n".join(texts)):
+                yield lang, _Tokens(data, own)
 
 
 def _count_slots(tables, bits: int, full: int):

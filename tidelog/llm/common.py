@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +31,15 @@ def repeated(df: DataFrame, copies: str) -> DataFrame:
     return df.select(*rest, F.explode(F.array_repeat(F.lit(True), F.col(copies).cast("int"))).alias("_copy")).select(*rest)
 
 
+def release() -> None:
+    """Give back to the system what a task no longer needs: its worker lives on, beside those of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about `limit` bytes of text, so that a task's scratch memory doesn't follow the batch size."""
     for batch in batches:
@@ -41,6 +52,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             held += n
         if start < len(sizes):
             yield batch.slice(start)
+    release()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import documents, text_chunks, texts
+from .common import documents, release, text_chunks, texts
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
-#: What a worker keeps from chunk to chunk: pairs of pieces that were tested, and encoded words.
+#: What is kept from chunk to chunk: pairs of pieces that were tested, and encoded words.
 KEPT_PAIRS = 150_000
 KEPT_WORDS = 60_000
 
@@ -219,7 +219,7 @@ def marked_words(text: str) -> list[str]:
 def encoded_chunks(batches: Iterator[pa.RecordBatch], path: str, cache_words: int = KEPT_WORDS):
     """Chunks of the batches, each with its texts' packed ids.
 
-    A worker keeps the encodings of at most `cache_words` words besides one chunk's.
+    A task keeps the encodings of at most `cache_words` words besides one chunk's; the model goes when it ends.
     """
     model, cache = load(path)
     for batch in text_chunks(batches, limit=2 << 20):
@@ -231,6 +231,10 @@ def encoded_chunks(batches: Iterator[pa.RecordBatch], path: str, cache_words: in
         order = sorted(new)
         cache.update(zip(order, model.encode_sorted(order)))
         yield batch, [b"".join([cache[w] for w in ws]) for ws in words]
+    _workers.pop(path, None)
+    cache.clear()
+    del model
+    release()
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
