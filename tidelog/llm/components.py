@@ -29,10 +29,10 @@ def _united(batches):
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the node's smallest neighbour instead."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-    return both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    """Every larger neighbour of a node is linked to the node's smallest neighbour instead; links run from large to small."""
+    larger = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    low = links.unionByName(larger).groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
+    return larger.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
