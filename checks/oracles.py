@@ -171,6 +171,21 @@ def mixed_stream() -> str:
     return f"SELECT * EXCLUDE (idx) FROM ({mixed()})"
 
 
+def streamed_csv() -> str:
+    """Parsed records of both delimited files with the ids their lines have, numbered without headers."""
+    lines = {
+        "csv": """strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z,' || method || ',"' || raw_path || '",' || status || ',' || ms_text
+            || ',"said ""hi"", ok"'""",
+        "w3c": """strftime(ts, '%Y-%m-%d') || chr(9) || strftime(ts, '%H:%M:%S') || chr(9) || method || chr(9) || raw_path || chr(9)
+            || status || chr(9) || CAST(CAST(latency / 1000 AS DECIMAL(18,5)) AS VARCHAR)""",
+    }
+    parts = [
+        f"SELECT {record(**PARSED[kind])}, '{kind}' AS kind, {text} AS raw_line, {fnv(f'event_id || {chr(39)}:{chr(39)} || ({text})')} AS id FROM log"
+        for kind, text in lines.items()
+    ]
+    return LOG + " UNION ALL ".join(parts)
+
+
 def many_sources() -> str:
     rows = {"clf": "is_error", "json": "is_error", "csv": "is_error", "w3c": "is_error", "k8s": "status >= 500"}
     return LOG + " UNION ALL ".join(
@@ -317,6 +332,10 @@ ORACLES = {
     "json_documents": LOG + "SELECT idx, 'GET' AS method, path, status FROM log WHERE event_id % 8 IN (0, 4)",
     "register_parser": LOG + "SELECT idx, 'HASH' AS method, raw_path AS path, status, is_error FROM log",
     "parse_stream_mixed": mixed_stream(),
+    "stream_line_numbers": LOG + ", n AS (SELECT event_id % 4 AS part, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1 AS idx, "
+    "full_request || ' ' || event_id AS raw_line FROM log WHERE event_id % 40 >= 4) SELECT part, idx, raw_line, "
+    + fnv("idx || ':' || raw_line") + " AS id FROM n",
+    "stream_csv": streamed_csv(),
     "filter_negative_latency": LOG + "SELECT idx FROM log WHERE method = 'GET' AND (idx % 2 = 0 OR latency = 0)",
     "search_accents": LOG + "SELECT idx FROM log WHERE idx % 3 = 0 AND method = 'GET'",
     "aggregate_stats": LOG + f"SELECT * FROM ({KPIS}) k, (SELECT "

@@ -160,11 +160,11 @@ def ids_of(query):
 
 # -- parse jobs --------------------------------------------------------------------
 
-def event_view(ev: DataFrame) -> DataFrame:
+def event_view(ev: DataFrame, *more: Column | str) -> DataFrame:
     return ev.select(
         "idx", "id", stamp().alias("time"), "method", "path", "full_request", "status", r6("latency").alias("latency"),
         r6("upstream_latency").alias("upstream_latency"), "user_agent", "remote_ip", "referer", "is_error", "severity",
-        "log_type", "body_bytes",
+        "log_type", "body_bytes", *more,
     )
 
 
@@ -444,6 +444,41 @@ def parse_stream_mixed(spark, sf):
     )
 
 
+def _arrived(spark, path: str, **options) -> DataFrame:
+    """Every file below `path` parsed in a stream that runs until there are no more, a few files an epoch."""
+    folder = scratch_path(spark, "arrived")
+    tl.parse_arrivals(spark, path, folder + "/events", folder + "/checkpoint", context(), availableNow=True, **options).awaitTermination()
+    return spark.read.parquet(folder + "/events")
+
+
+def stream_line_numbers(spark, sf):
+    """Line numbers and ids of four files in a stream, every tenth line blank."""
+    path = scratch_path(spark, "arrivals")
+    part = F.col("event_id") % 4
+    texts = fx.requests(ready(spark), sf).select(
+        part.alias("part"), "event_id",
+        F.when(F.col("event_id") % 40 < 4, " ").otherwise(F.concat_ws(" ", "method", "raw_path", "event_id")).alias("line"),
+    )
+    texts.repartition(4, "part").sortWithinPartitions("part", "event_id").select("part", "line").write.partitionBy("part").text(path)
+    found = _arrived(spark, path, options={"maxFilesPerTrigger": "2"})
+    return found.select(F.regexp_extract("source", r"part=(\d)", 1).cast("long").alias("part"), "idx", "id", "raw_line")
+
+
+def stream_csv(spark, sf):
+    """A plain and a W3C file in three chunks each, the header in the first alone, one chunk an epoch."""
+    path = scratch_path(spark, "chunks")
+    for chunk in range(3):
+        for kind in ("csv", "w3c"):
+            lines = fx.lines_of(ready(spark), sf, kind)
+            size = F.ceil((F.lit(lines.agg(F.max("idx")).scalar()) + 1) / 3)
+            mine = lines.filter(F.floor(F.col("idx") / size) == chunk)
+            # One file a chunk, so that they arrive in order.
+            mine.coalesce(1).sortWithinPartitions("idx").select("line").write.text(f"{path}/{kind}.log/{chunk}")
+    found = _arrived(spark, path + "/*/*", chunk=r"/\d+/[^/]*$", options={"maxFilesPerTrigger": "1"})
+    kind = F.regexp_extract("source", r"([a-z0-9]+)\.log$", 1)
+    return event_view(found, kind.alias("kind"), "raw_line")
+
+
 def negative_latency(ev):
     """A view in which half the latencies are below nothing, under a filter that doesn't name them."""
     odd = ev.withColumn("latency", F.when(F.col("idx") % 2 == 1, -F.col("latency")).otherwise(F.col("latency")))
@@ -559,6 +594,8 @@ QUERIES = {
     "json_documents": json_documents,
     "register_parser": registered_format,
     "parse_stream_mixed": parse_stream_mixed,
+    "stream_line_numbers": stream_line_numbers,
+    "stream_csv": stream_csv,
     "filter_negative_latency": on_events(negative_latency),
     "search_accents": on_events(search_accents),
     "aggregate_stats": on_events(stats_bundle),

@@ -18,4 +18,5 @@ from .session import get_session
 from .sources.lines import append, read_lines, retain_last, with_line_index
 from .sources.store import clear_events, export_csv, load_events, save_events
 from .sources.zips import read_zip_lines
+from .streaming.arrivals import parse_arrivals
 from .streaming.jobs import parse_stream, score_stream, stats_on_append, stream_lines, windowed_signals

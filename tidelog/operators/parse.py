@@ -86,8 +86,12 @@ def parse_logs(lines: DataFrame, ctx: ParseContext = ParseContext()) -> DataFram
     that read whole sources (json, csv) then take all of it. Lines of other
     sources go to the first format that accepts them, else become generic.
     """
+    return parse_profiled(lines, materialize(source_profile(lines), "profile"), ctx)
+
+
+def parse_profiled(lines: DataFrame, profile: DataFrame, ctx: ParseContext = ParseContext()) -> DataFrame:
+    """Parse lines whose sources' profiles, one materialised row each, are known."""
     specs = known_formats()
-    profile = materialize(source_profile(lines), "profile")
     settled = {r["pinned"]: r["late"] for r in profile.groupBy("pinned").agg(F.sum("late_comments").alias("late")).collect()}
     whole = [s for s in specs if s.parse_all is not None and s.id in settled]
 

@@ -76,6 +76,10 @@ def header_aggregates() -> list[Column]:
         F.count_if(comment & (idx >= PREAMBLE_LINES)).alias("late_comments"),
         F.min(F.when(~comment, idx)).alias("first_idx"),
         F.count("*").alias("n_lines"),
+        F.count_if(comment).alias("comments"),
+        # What earlier chunks of the source settled; nothing when the source is read whole.
+        F.lit(None).cast("bigint").alias("kept_header"),
+        F.lit(0).cast("bigint").alias("earlier_records"),
     ]
 
 
@@ -108,10 +112,11 @@ def resolve_headers(profile: DataFrame) -> DataFrame:
             F.array_position(headers, "time").cast("int").alias("clock"),
             F.array_contains(headers, "time-taken").alias("in_seconds"),
             # Index of the line that serves as header and is no record itself.
-            F.when(~tagged, F.col("first_idx")).alias("header_idx"),
+            F.coalesce("kept_header", F.when(~tagged, F.col("first_idx"))).alias("header_idx"),
         ).alias("layout"),
         "preamble",
         "late_comments",
+        "earlier_records",
         "n_lines",
     )
 
@@ -136,7 +141,7 @@ def _ordinals(lines: DataFrame) -> DataFrame:
     counted = (
         late.withColumn("within", within)
         .join(offsets, ["source", "block"])
-        .withColumn("ordinal", F.col("offset") + F.col("within") - 1)
+        .withColumn("ordinal", F.col("earlier_records") + F.col("offset") + F.col("within") - 1)
         .drop("block", "within", "offset")
     )
     return simple.unionByName(counted)

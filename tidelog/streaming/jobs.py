@@ -57,10 +57,10 @@ def parse_stream(lines: DataFrame, format_id: str, ctx: ParseContext = ParseCont
     A line that this format refuses goes to the first other one that takes it,
     in the order of the known formats, and becomes generic if none does. Formats
     that read whole sources (json) drop what they refuse, as in batches; csv
-    needs its header line, so it cannot be streamed.
+    needs its header line, for which `parse_arrivals` keeps state.
     """
     if format_id == "csv":
-        raise ValueError("csv needs its header line; read it in batches")
+        raise ValueError("csv needs its header line; use parse_arrivals")
     specs = known_formats()
     spec = next(s for s in specs if s.id == format_id)
     if spec.parse_all is not None:
