@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog.plans.lookup import fits_broadcast
 
+#: What an Arrow batch may take. The default, 64 MB, comes with long texts and is held several times over per task.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -61,7 +65,14 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """The two columns that operators on documents read, whatever else the table holds."""
+    """The two columns that operators on documents read, whatever else the table holds.
+
+    Sets the session's limit of bytes per Arrow batch, unless the session has one of its own: a limit of rows alone
+    lets a task's memory follow the length of the texts. No result depends on it.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
