@@ -346,3 +346,9 @@ ORACLES = {
         count(*) FILTER (is_error) AS error_count, round(avg(latency), 6) AS avg_latency,
         round(quantile_disc(latency, 0.95), 6) AS p95_latency FROM log GROUP BY 1""",
 }
+
+# The same statistics of all rows, whatever the epochs.
+ORACLES |= {
+    f"{name}_on_append": ORACLES[batch]
+    for name, batch in (("baselines", "endpoint_baselines"), ("anomalies", "detect_anomalies"), ("requests_over_time", "requests_over_time"))
+}

@@ -519,6 +519,23 @@ def stats_on_append(spark, sf):
     return rounded(spark.read.parquet(out), "avg_latency", "error_rate")
 
 
+def on_append(part: str, shape):
+    """One statistic of a stream of four files, an epoch each, from the states of the last epoch."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        path = scratch_path(spark, "arrivals")
+        fx.log_events(ready(spark), sf).repartition(4).write.parquet(path)
+        schema = spark.read.parquet(path).schema
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        folder, last = scratch_path(spark, "stream"), {}
+        tl.stats_on_append(
+            stream, folder + "/events", folder + "/checkpoint", lambda s, epoch: last.update(stats=s), availableNow=True
+        ).awaitTermination()
+        return shape(last["stats"][part])
+
+    return run
+
+
 def view_digest(ev):
     return tl.view_digest(ev, tl.LogQuery(methods=("GET",)), tl.aggregate_stats(ev, saved=True))
 
@@ -604,6 +621,11 @@ QUERIES = {
     "windowed_signals": on_events(windowed_signals),
     "score_stream": score_stream,
     "stats_on_append": stats_on_append,
+    "baselines_on_append": on_append("baselines", lambda b: rounded(b, "median", "mad").select("endpoint", "n", "median", "mad")),
+    "anomalies_on_append": on_append(
+        "anomalies", lambda a: rounded(a, "latency", "anomaly_score").select("idx", "path", "status", "latency", "anomaly_score")
+    ),
+    "requests_over_time_on_append": on_append("requests_over_time", lambda r: rounded(r, "avg_latency")),
 }
 
 

@@ -94,3 +94,14 @@ def bucket_label(ts: Column | str, span: Column) -> Column:
         .when(span <= 2 * DAY_MS, ten_minutes)
         .otherwise(F.date_format(t, "yyyy-MM-dd HH:00"))
     )
+
+
+def coarser_label(label: Column | str, span: Column) -> Column:
+    """A label of a shorter view as `bucket_label` gives it for a view of this span; widths are nested."""
+    t = col(label)
+    return (
+        F.when(span <= 2 * MINUTE_MS, t)
+        .when(span <= 2 * HOUR_MS, F.left(t, F.lit(16)))
+        .when(span <= 2 * DAY_MS, F.concat(F.left(t, F.lit(15)), F.lit("0")))
+        .otherwise(F.concat(F.left(t, F.lit(13)), F.lit(":00")))
+    )

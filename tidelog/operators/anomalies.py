@@ -23,10 +23,14 @@ def endpoint_baselines(events: DataFrame) -> DataFrame:
     Endpoint and latency are written once and read by every pass of both
     medians; the middle of an endpoint meets its rows by a join on the endpoint.
     """
-    keyed = materialize(events.select(endpoint_key().alias("endpoint"), F.col("latency").cast("double").alias("latency")), "latencies")
-    centre = materialize(medians(keyed, F.col("latency"), ["endpoint"]), "medians")
+    return baselines_of(materialize(events.select(endpoint_key().alias("endpoint"), F.col("latency").cast("double").alias("latency")), "latencies"))
+
+
+def baselines_of(keyed: DataFrame, weight: str | None = None) -> DataFrame:
+    """The same from (endpoint, latency); a row counts as often as the column `weight` says."""
+    centre = materialize(medians(keyed, F.col("latency"), ["endpoint"], weight), "medians")
     away = F.abs(F.col("latency") - F.col("median"))
-    spread = medians(keyed.join(centre, "endpoint"), away, ["endpoint"]).select("endpoint", F.col("median").alias("mad"))
+    spread = medians(keyed.join(centre.drop("n"), "endpoint"), away, ["endpoint"], weight).select("endpoint", F.col("median").alias("mad"))
     return materialize(centre.join(spread, "endpoint"), "baselines")
 
 

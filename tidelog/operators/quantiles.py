@@ -38,19 +38,25 @@ def _octave_bucket(v: Column) -> Column:
     return F.when(v < 0, -depth).otherwise(depth)
 
 
-def _numbers(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
-    """(keys, v) without missing values."""
-    return df.select(*keys, value.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+def _numbers(df: DataFrame, value: Column, keys: list[str], weight: str | None = None) -> DataFrame:
+    """(keys, v) without missing values; and w, how often a row counts, if a column says so."""
+    often = [F.col(weight).cast("long").alias("w")] if weight else []
+    return df.select(*keys, value.cast("double").alias("v"), *often).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+
+
+def _measures(rows: DataFrame) -> list[Column]:
+    often = F.sum("w") if "w" in rows.columns else F.count("*")
+    return [often.alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")]
 
 
 def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return rows.groupBy(*by).agg(*_measures(rows))
 
 
 def values_at_ranks(rows: DataFrame, keys: list[str], ranks) -> DataFrame:
     """(keys, tag, n, v): the value at each wanted rank of each group.
 
-    `rows` (keys, v) are read once per pass, a handful of times, and have no
+    `rows` (keys, v, and w if a row counts more than once) are read once per pass, a handful of times, and have no
     missing values. `ranks` maps the Column n (values in the group) to an array
     of struct(tag, r), r counted from 1.
     """
@@ -80,15 +86,17 @@ def values_at_ranks(rows: DataFrame, keys: list[str], ranks) -> DataFrame:
         met = met.withColumn("r", F.col("r") - F.col("before")).select(*shape)
         found = materialize(found.filter(~large).select(*shape).unionByName(met), "ranks")
     few = found.filter("lo < hi")
-    ordered = held(few).groupBy(*cell).agg(F.sort_array(F.collect_list("v")).alias("values"))
+    # A cell holds few values, those counted often included.
+    each = F.array_repeat("v", F.col("w").cast("int")) if "w" in rows.columns else F.array("v")
+    ordered = held(few).groupBy(*cell).agg(F.sort_array(F.flatten(F.collect_list(each))).alias("values"))
     picked = few.join(ordered, cell).select(*keys, "tag", "n", F.get("values", (F.col("r") - 1).cast("int")).alias("v"))
     return found.filter("lo = hi").select(*keys, "tag", "n", F.col("lo").alias("v")).unionByName(picked)
 
 
-def whole_table_ranks(df: DataFrame, value: str, percents: list[float]) -> tuple[int, dict[float, float]]:
+def whole_table_ranks(df: DataFrame, value: str, percents: list[float], weight: str | None = None) -> tuple[int, dict[float, float]]:
     """(n, value at each percent's nearest rank) of a numeric column; the driver holds histograms only."""
-    rows = _numbers(df, F.col(value), [])
-    counted = [F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    rows = _numbers(df, F.col(value), [], weight)
+    counted = _measures(rows)
     hist = sorted(map(tuple, rows.groupBy(_octave_bucket(F.col("v")).alias("b")).agg(*counted).collect()))
     n = sum(c for _, c, _, _ in hist)
     if not n:
@@ -109,7 +117,7 @@ def whole_table_ranks(df: DataFrame, value: str, percents: list[float]) -> tuple
             inside = F.col("v").between(lo, hi)
             bucket = bucket.when(inside, F.lit(i))
             piece = piece.when(inside, F.floor((F.col("v") - lo) / (hi - lo) * (SLICES - 1)))
-        slices = rows.select("v", bucket.alias("i"), piece.alias("s")).filter("i IS NOT NULL").groupBy("i", "s").agg(*counted)
+        slices = rows.select("*", bucket.alias("i"), piece.alias("s")).filter("i IS NOT NULL").groupBy("i", "s").agg(*counted)
         cut: dict[int, list] = {}
         for i, *rest in sorted(map(tuple, slices.collect())):
             cut.setdefault(i, []).append(tuple(rest))
@@ -134,8 +142,8 @@ def nearest_rank(df: DataFrame, value: str, percents: list[float], keys: list[st
     return values_at_ranks(_numbers(df, F.col(value), keys), keys, ranks)
 
 
-def medians(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
-    """(keys, n, median) of the values in each group; the middle pair is averaged."""
+def medians(df: DataFrame, value: Column, keys: list[str], weight: str | None = None) -> DataFrame:
+    """(keys, n, median) of the values in each group; the middle pair is averaged. A row counts `weight` times."""
 
     def middle(n: Column) -> Column:
         low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
@@ -143,5 +151,5 @@ def medians(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
             F.struct(F.lit(0.0).alias("tag"), low.alias("r")), F.struct(F.lit(1.0).alias("tag"), high.alias("r"))
         )
 
-    pair = values_at_ranks(_numbers(df, value, keys), keys, middle)
+    pair = values_at_ranks(_numbers(df, value, keys, weight), keys, middle)
     return pair.groupBy(*keys).agg(F.max("n").alias("n"), F.avg("v").alias("median"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..functions.labels import endpoint_label, status_class
 from ..functions.paths import short_path
@@ -42,9 +42,9 @@ def kpis(events: DataFrame) -> DataFrame:
     )
 
 
-def latency_percentiles(events: DataFrame) -> DataFrame:
-    """One row p50, p90, p95, p99 by nearest rank."""
-    _, found = whole_table_ranks(events, "latency", PERCENTS)
+def latency_percentiles(events: DataFrame, weight: str | None = None) -> DataFrame:
+    """One row p50, p90, p95, p99 by nearest rank; a row counts `weight` times if a column is named."""
+    _, found = whole_table_ranks(events, "latency", PERCENTS, weight)
     columns = ", ".join(f"p{p} double" for p in PERCENTS)
     return events.sparkSession.createDataFrame([tuple(found.get(p, 0.0) for p in PERCENTS)], columns)
 
@@ -109,7 +109,13 @@ def golden_signals(events: DataFrame, percentiles: DataFrame | None = None) -> D
         F.count("*").alias("n"),
         _error_percent().alias("errors"),
         F.coalesce(span_ms(F.min("timestamp"), F.max("timestamp")), F.lit(0)).alias("span"),
-    ).select(
+    )
+    return signals_of(base, quantiles)
+
+
+def signals_of(base: DataFrame, quantiles: Row) -> DataFrame:
+    """Golden signals from one row (n, errors in percent, span in ms) and the percentiles."""
+    base = base.select(
         "errors",
         F.when(F.col("span") > 0, F.col("n") / (F.col("span") / 1000)).otherwise(F.col("n").cast("double")).alias("traffic"),
         F.lit(quantiles["p50"]).alias("p50"),
@@ -126,12 +132,17 @@ def latency_histogram(events: DataFrame, percentiles: DataFrame | None = None) -
     of the counting pass small and its bound is pushed into the scan.
     """
     p95 = percentiles.first()["p95"] if percentiles else whole_table_ranks(events, "latency", [95])[1].get(95, 0.0)
+    return bins_of(events, p95, events.isEmpty(), F.count("*"))
+
+
+def bins_of(rows: DataFrame, p95: float, empty: bool, counted_by: Column) -> DataFrame:
+    """The bins of rows with a `latency`, counted by an aggregate; none for an empty view."""
     reach = p95 * HISTOGRAM_REACH
     width = reach / HISTOGRAM_BINS or 1.0
-    binned = events.filter(F.col("latency") <= reach).select(F.floor(F.col("latency") / width).alias("bin"))
-    counted = binned.filter(F.col("bin").between(0, HISTOGRAM_BINS - 1)).groupBy("bin").agg(F.count("*").alias("count"))
-    some = 0 if events.isEmpty() else HISTOGRAM_BINS
-    bins = events.sparkSession.range(some).withColumnRenamed("id", "bin")
+    binned = rows.filter(F.col("latency") <= reach).withColumn("bin", F.floor(F.col("latency") / width))
+    counted = binned.filter(F.col("bin").between(0, HISTOGRAM_BINS - 1)).groupBy("bin").agg(counted_by.alias("count"))
+    some = 0 if empty else HISTOGRAM_BINS
+    bins = rows.sparkSession.range(some).withColumnRenamed("id", "bin")
 
     def edge(i: Column) -> Column:
         return F.round(i * width, 0).cast("bigint").cast("string")
@@ -147,14 +158,22 @@ def latency_histogram(events: DataFrame, percentiles: DataFrame | None = None) -
     )
 
 
+def hour_in(tz: str) -> Column:
+    """Hour of day in `tz`."""
+    return F.hour(F.convert_timezone(F.current_timezone(), F.lit(tz), F.col("timestamp").cast("timestamp_ntz")))
+
+
 def traffic_heatmap(events: DataFrame, tz: str = "UTC") -> DataFrame:
     """Count and error fraction per hour of day in `tz`, all 24 hours; none for an empty view."""
-    zone = F.current_timezone()
-    local = F.convert_timezone(zone, F.lit(tz), F.col("timestamp").cast("timestamp_ntz"))
-    per_hour = events.groupBy(F.hour(local).alias("hour")).agg(
+    per_hour = events.groupBy(hour_in(tz).alias("hour")).agg(
         F.count("*").alias("count"), (_errors() / F.count("*")).alias("error_rate")
     )
-    hours = events.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+    return hours_of(per_hour)
+
+
+def hours_of(per_hour: DataFrame) -> DataFrame:
+    """All 24 hours from the counts of those that occur."""
+    hours = per_hour.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
     # At most 24 groups.
     return (
         hours.join(F.broadcast(per_hour), "hour", "left")

@@ -14,6 +14,7 @@ from ..operators.parse import parse_cascade
 from ..parsers import known_formats, parse_with
 from ..parsers.base import ParseContext
 from ..plans.bundle import Stats, aggregate_stats
+from ..plans.states import MergedStats, States
 from ..schema import LOG_EVENTS
 
 
@@ -81,17 +82,22 @@ def stats_on_append(
     """Append each micro-batch to a table and report on all of it, or on the
     `retain` records that arrived last.
 
-    A batch that is run again after a failure replaces its own folder, so no
-    record counts twice.
+    A report on all of it reads mergeable states, written beside the table, and
+    not the events, but for templates (see `plans/states.py`); the last records
+    are read from the table. A batch that is run again after a failure replaces
+    its own folder and states, so no record counts twice.
     """
     spark = events.sparkSession
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
+        if retain is None:
+            states = States(spark, table)
+            states.add(epoch)
+            return report(MergedStats(states, epoch), epoch)
         everything = spark.read.option("basePath", table).parquet(f"{table}/epoch=*")
-        if retain is not None:
-            everything = everything.orderBy(F.desc("epoch"), F.desc("idx"), F.desc("source")).limit(retain)
-        report(aggregate_stats(everything.select(*LOG_EVENTS.fieldNames()), saved=retain is None), epoch)
+        latest = everything.orderBy(F.desc("epoch"), F.desc("idx"), F.desc("source")).limit(retain)
+        report(aggregate_stats(latest.select(*LOG_EVENTS.fieldNames())), epoch)
 
     return (
         events.writeStream.foreachBatch(on_batch)
