@@ -123,3 +123,23 @@ def test_many_templates_in_one_group(spark):
     row = log.filter("cluster = 0").orderBy("since").collect()
     assert [(r["since"]["idx"], r["tokens"]) for r in row] == [(0, ["job", "a0", "b0", "c0"]), (n, ["job", "a0", "b0", "<*>"]), (n + 1, ["job", "<*>", "<*>", "<*>"])]
     assert [r["probes"] is None for r in row] == [False, False, True]
+
+
+def test_groups_replayed_whole_are_not_looked_up(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [{"full_request": " ".join([rng.choice("xyz"), *rng.sample("abcdefghij", 5)]), "severity": "INFO"} for _ in range(60)]
+    rows = list({r["full_request"]: r for r in rows}.values())
+    looked_up, agreeing = [], T._agreeing
+
+    def count(messages, versions, threshold):
+        looked_up.append((messages.count(), versions.count()))
+        return agreeing(messages, versions, threshold)
+
+    monkeypatch.setattr(T, "_agreeing", count)
+    assert as_tuples(T.cluster_logs(events(spark, rows), k=1000)) == sequential(rows)
+    assert set(looked_up) == {(0, 0)}
+    # A message that comes again may meet a later version, so its group is looked up.
+    looked_up.clear()
+    rows = rows + [r for r in rows if r["full_request"].startswith("x")]
+    assert as_tuples(T.cluster_logs(events(spark, rows), k=1000)) == sequential(rows)
+    assert looked_up[0][0] == len({r["full_request"] for r in rows if r["full_request"].startswith("x")})
