@@ -44,6 +44,21 @@ def test_recursion_agrees_with_doubling():
     assert (suffixes.suffix_array(text) == suffixes.doubled(text)).all()
 
 
+def test_short_repeats_need_no_induction(monkeypatch):
+    rng = random.Random(6)
+    passages = [bytes(rng.choices(b"abcdefgh ", k=500)) for _ in range(20)]
+    raw = b"".join(rng.choice(passages) + bytes(rng.choices(b"abc", k=rng.randint(1, 30))) for _ in range(60))
+    text = np.append(np.frombuffer(raw, np.uint8).astype(np.int64) + 1, 0)
+    want = suffixes.suffix_array(text).tolist()
+    assert want == sorted(range(len(text)), key=lambda i: raw[i:])
+    induced, calls = suffixes.induce, []
+    monkeypatch.setattr(suffixes, "induce", lambda *a: calls.append(1) or induced(*a))
+    assert suffixes.suffix_array(text).tolist() == want and not calls
+    # Repeats beyond the limit take induced sorting.
+    monkeypatch.setattr(suffixes, "LONG_REPEAT", 100)
+    assert suffixes.suffix_array(text).tolist() == want and calls
+
+
 def by_hand(rows, length):
     seen = Counter()
     for _, t in rows:
