@@ -444,9 +444,9 @@ def parse_stream_mixed(spark, sf):
     )
 
 
-def _arrived(spark, path: str, **options) -> DataFrame:
-    """Every file below `path` parsed in a stream that runs until there are no more, a few files an epoch."""
-    folder = scratch_path(spark, "arrived")
+def _arrived(spark, path: str, folder: str | None = None, **options) -> DataFrame:
+    """Every file below `path` that `folder` doesn't know yet, parsed in a stream that runs until there are no more."""
+    folder = folder or scratch_path(spark, "arrived")
     tl.parse_arrivals(spark, path, folder + "/events", folder + "/checkpoint", context(), availableNow=True, **options).awaitTermination()
     return spark.read.parquet(folder + "/events")
 
@@ -466,15 +466,15 @@ def stream_line_numbers(spark, sf):
 
 def stream_csv(spark, sf):
     """A plain and a W3C file in three chunks each, the header in the first alone, one chunk an epoch."""
-    path = scratch_path(spark, "chunks")
+    path, folder = scratch_path(spark, "chunks"), scratch_path(spark, "arrived")
     for chunk in range(3):
         for kind in ("csv", "w3c"):
             lines = fx.lines_of(ready(spark), sf, kind)
             size = F.ceil((F.lit(lines.agg(F.max("idx")).scalar()) + 1) / 3)
             mine = lines.filter(F.floor(F.col("idx") / size) == chunk)
-            # One file a chunk, so that they arrive in order.
-            mine.coalesce(1).sortWithinPartitions("idx").select("line").write.text(f"{path}/{kind}.log/{chunk}")
-    found = _arrived(spark, path + "/*/*", chunk=r"/\d+/[^/]*$", options={"maxFilesPerTrigger": "1"})
+            # Parts are named in the order of their lines, and a chunk is taken in before the next one is written.
+            mine.repartitionByRange("idx").sortWithinPartitions("idx").select("line").write.text(f"{path}/{kind}.log/{chunk}")
+            found = _arrived(spark, path + "/*/*", folder, chunk=r"/\d+/[^/]*$")
     kind = F.regexp_extract("source", r"([a-z0-9]+)\.log$", 1)
     return event_view(found, kind.alias("kind"), "raw_line")
 

@@ -1,11 +1,13 @@
 """Files that arrive in a stream against the same files read at once."""
 
 import os
+import pathlib
 
 import pytest
+from checks import queries
 from pyspark.sql import functions as F
 from test_sources import CLF
-from tidelog import parse_arrivals, parse_logs, read_lines
+from tidelog import fixtures, parse_arrivals, parse_logs, read_lines
 from tidelog.functions.ids import log_id
 from tidelog.streaming import arrivals
 
@@ -102,3 +104,21 @@ def test_missing_header_takes_the_first_line(spark, tmp_path, folders):
     arrive(whole, "t.tsv", body, 0)
     got = rows(stream(spark, tmp_path, chunk=CHUNK, options={"maxFilesPerTrigger": "1"}))
     assert got == rows(parse_logs(read_lines(spark, str(whole)))) and len(got) == 3
+
+
+def test_csv_chunks_are_written_and_taken_in_by_many_tasks(spark, tmp_path, monkeypatch):
+    events = spark.range(300).selectExpr(
+        "id AS event_id", "timestamp_seconds(1700000000 + id * 7) AS ts", "id % 13 AS user_id", "'view' AS event_type", "id * 0.5D AS value", "'{\"k\": 4}' AS props"
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    paths, scratch = [], queries.scratch_path
+    monkeypatch.setattr(queries, "scratch_path", lambda session, name: paths.append(scratch(session, name)) or paths[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = queries.stream_csv(spark, str(tmp_path)).filter("kind = 'csv'").orderBy("idx").select("idx", "raw_line").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [r["line"] for r in fixtures.lines_of(spark, str(tmp_path), "csv").orderBy("idx").collect()]
+    # The header is line 0 and no record.
+    assert [(r["idx"], r["raw_line"]) for r in got] == list(enumerate(want))[1:]
+    assert all(len(list((pathlib.Path(paths[0]) / "csv.log" / str(chunk)).glob("part-*.txt"))) > 1 for chunk in range(3))
