@@ -114,6 +114,16 @@ def test_longer_strings_than_a_run(spark):
     assert run(spark, rows, 400) == by_hand(rows, 400)
 
 
+def test_passages_of_over_50_words_go_by_their_bytes(spark):
+    rng = random.Random(10)
+    words = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n)) for n in (59, 70)]
+    assert [len(w) for w in words] == [353, 419]
+    rows = [(k, f"{k} " * 50 + words[k // 2] + f" {k}" * 50) for k in range(4)]
+    removed = {length: [r[2] > 0 for r in run(spark, rows, length)] for length in (250, 400)}
+    assert removed == {250: [True] * 4, 400: [False, False, True, True]}
+    assert run(spark, rows, 400) == by_hand(rows, 400) and run(spark, rows, 250) == by_hand(rows, 250)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, "short"), (2, None)]) == by_hand([(1, "short"), (2, None)], 20)
